@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from siteweave.llm import sharding
+from siteweave.llm import sharding, simhash
 
-QUERIES = {"op3_sharding": sharding.op3_sharding}
+QUERIES = {
+    "op2_simhash": simhash.op2_simhash,
+    "op3_sharding": sharding.op3_sharding,
+}
 ORACLES = {"op3_sharding": sharding.ORACLE}
