@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from siteweave.llm import sharding, simhash
+from siteweave.llm import bpe, sharding, simhash
 
 QUERIES = {
     "op2_simhash": simhash.op2_simhash,
     "op3_sharding": sharding.op3_sharding,
+    "op7_bpe": bpe.op7_bpe,
 }
 ORACLES = {"op3_sharding": sharding.ORACLE}
