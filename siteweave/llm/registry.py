@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from siteweave.llm import bpe, sharding, simhash
+from siteweave.llm import bpe, packing, sharding, simhash, sstable
 
 QUERIES = {
     "op2_simhash": simhash.op2_simhash,
     "op3_sharding": sharding.op3_sharding,
     "op7_bpe": bpe.op7_bpe,
+    "op8_packing": packing.op8_packing,
+    "op10_sstable": sstable.op10_sstable,
 }
 ORACLES = {"op3_sharding": sharding.ORACLE}
