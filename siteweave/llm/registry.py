@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from siteweave.llm import bpe, packing, sharding, simhash, sstable
+from siteweave.llm import ann, bpe, langid, packing, sharding, simhash, sstable, topk
 
 QUERIES = {
+    "op1_topk": topk.op1_topk,
     "op2_simhash": simhash.op2_simhash,
     "op3_sharding": sharding.op3_sharding,
+    "op5_langid": langid.op5_langid,
+    "op6_ann": ann.op6_ann,
     "op7_bpe": bpe.op7_bpe,
     "op8_packing": packing.op8_packing,
     "op10_sstable": sstable.op10_sstable,
 }
-ORACLES = {"op3_sharding": sharding.ORACLE}
+ORACLES = {"op1_topk": topk.ORACLE, "op3_sharding": sharding.ORACLE}
