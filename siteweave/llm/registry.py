@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siteweave.llm import ann, bpe, langid, packing, sharding, simhash, sstable, topk
+from siteweave.llm import ann, bpe, langid, packing, sharding, simhash, sstable, suffixdedup, topk
 
 QUERIES = {
     "op1_topk": topk.op1_topk,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_ann": ann.op6_ann,
     "op7_bpe": bpe.op7_bpe,
     "op8_packing": packing.op8_packing,
+    "op9_suffixdedup": suffixdedup.op9_suffixdedup,
     "op10_sstable": sstable.op10_sstable,
 }
 ORACLES = {"op1_topk": topk.ORACLE, "op3_sharding": sharding.ORACLE}
