@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from siteweave.llm import ann, bpe, langid, packing, sharding, simhash, sstable, suffixdedup, topk
+from siteweave.llm import ann, bpe, hpylm, langid, packing, sharding, simhash, sstable, suffixdedup, topk
 
 QUERIES = {
     "op1_topk": topk.op1_topk,
     "op2_simhash": simhash.op2_simhash,
     "op3_sharding": sharding.op3_sharding,
+    "op4_hpylm": hpylm.op4_hpylm,
     "op5_langid": langid.op5_langid,
     "op6_ann": ann.op6_ann,
     "op7_bpe": bpe.op7_bpe,
