@@ -146,7 +146,7 @@ def nearest(table: DataFrame, k: int, *, is_query: Column, key: str = "vec_id",
 
     buckets = members.select("id", "v").mapInArrow(index, "t int, bucket long, cids binary, cm binary")
     calls = wanted.select("id", "v").mapInArrow(visit, "t int, bucket long, qids binary, qm binary")
-    found = calls.join(buckets, ["t", "bucket"]).select("qids", "qm", "cids", "cm").mapInArrow(rerank, "q long, c long, score double")
+    found = calls.hint("merge").join(buckets, ["t", "bucket"]).select("qids", "qm", "cids", "cm").mapInArrow(rerank, "q long, c long, score double")
     found = materialize(found.groupBy("q", "c").agg(F.max("score").alias("score")), "ann-found")
     # Queries that met too few objects, as on tiny tables, are compared with all of them.
     enough = found.groupBy("q").count().filter(F.col("count") >= keep).select(F.col("q").alias("id"))
