@@ -2,8 +2,8 @@
 
 Byte 1- to 3-grams of the lower-cased text are hashed into a vector of fixed size. Weights are dampened counts times
 the inverse document frequency. Each language gets several centroids by spherical k-means; a text takes the language
-of the centroid with the largest cosine. If that cosine is far below what the centroid's own members reach, the text
-is marked as rejected.
+of the centroid with the largest cosine. If that cosine is far below what members of the language reach, the text is
+marked as rejected.
 
 The model is fitted on a bounded sample of labelled rows (``SAMPLE`` rows in all); every row is classified whole.
 """
@@ -28,8 +28,8 @@ DIMENSIONS = 1 << 12
 SAMPLE = 2048
 #: Centroids of each language.
 CENTROIDS = 4
-#: A text is rejected below this share of the lowest cosine among the members of its nearest centroid.
-REJECT = 0.5
+#: A text is rejected below this share of the lowest cosine that a member of its language's clusters has to its centroid.
+REJECT = 0.25
 UNDETERMINED = "und"
 
 LETTER = regex.compile(r"\p{L}")
@@ -122,10 +122,10 @@ def fit(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str =
         vectors = weigh(np.stack(taken[name]), idf)
         made, own = cluster(vectors, centroids)
         reach = (vectors * made[own]).sum(axis=1)
-        for i in range(len(made)):
+        for centroid in made:
             languages.append(name)
-            parts.append(made[i])
-            floors.append(REJECT * float(reach[own == i].min()) if (own == i).any() else 0.0)
+            parts.append(centroid)
+            floors.append(REJECT * float(reach.min()))
     return Model(languages, idf, np.stack(parts).astype(np.float32), np.array(floors))
 
 
