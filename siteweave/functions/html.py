@@ -21,7 +21,7 @@ RAW = {"title", "textarea", "noscript", "iframe", "noframes", "noembed", "xmp",
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 LEVELS = ("h1", "h2", "h3", "h4", "h5", "h6")
 #: White space that text is trimmed of.
-BLANK = "\t\n\x0b\x0c\r \x85\xa0                　"
+BLANK = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def escape(text: str) -> str:
