@@ -280,3 +280,56 @@ def test_pipeline(spark, docs, empty):
     assert set(kept["pack"]) == set(kept["passages"]) == set(kept["near_duplicates"])
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF).isEmpty()
+
+
+def brute_similar(rows, words=5, similarity=0.8):
+    tokens = {i: tuple((t or "").encode().lower().split()) for i, t in rows}
+    sets = {}
+    for i, w in tokens.items():
+        k = min(words, len(w))
+        sets[i] = {w[j : j + k] for j in range(len(w) - k + 1)} if w else set()
+    root = {i: i for i in tokens}
+    changed = True
+    while changed:
+        changed = False
+        for i, j in combinations(tokens, 2):
+            both = len(sets[i] & sets[j])
+            if (tokens[i] == tokens[j] or (both and both >= similarity * (len(sets[i]) + len(sets[j]) - both))) and root[i] != root[j]:
+                root[i] = root[j] = min(root[i], root[j])
+                changed = True
+    return root
+
+
+def test_similar_texts(spark, docs, empty):
+    rng = np.random.default_rng(5)
+    rows = [(r[0], r[1]) for r in oddities()]
+    for group in range(12):
+        words = [f"w{x}" for x in rng.integers(0, 3000, 200)]
+        rows.append((100 + 10 * group, " ".join(words)))
+        for copy in range(1, 4):  # one to three words changed: similarities from 0.86 to 0.95
+            edited = list(words)
+            for at in rng.choice(200, copy, replace=False):
+                edited[at] = "changed"
+            rows.append((100 + 10 * group + copy, " ".join(edited)))
+    # more different copies than are paired one by one
+    rows += [(1000 + i, "hot " + " ".join(f"h{x}" for x in range(150)) + f" end{i}") for i in range(simhash.CROWD + 30)]
+    table = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, component string").repartition(3)
+    got = [(r.doc_id, r.component) for r in simhash.similar_texts(table).collect()]
+    want = brute_similar(rows)
+    assert sorted(got) == sorted((i, want[i]) for i, _ in rows)
+    assert simhash.similar_texts(empty).isEmpty()
+
+
+def test_wide_fingerprint():
+    text = "a b a b a b c"
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in ("a b", "b a", "a b", "b a", "a b", "b c")]
+    wide = np.unpackbits(np.frombuffer(simhash.wide_fingerprint(text.encode()), np.uint8), bitorder="little")
+    ones, mask = np.zeros(simhash.WIDE), 2**64 - 1
+    for h in hashes:
+        for step in range(simhash.WIDE // 64):
+            x = (h + (step + 1) * 0x9E3779B97F4A7C15) & mask
+            x = ((x ^ x >> 30) * 0xBF58476D1CE4E5B9) & mask
+            x = ((x ^ x >> 27) * 0x94D049BB133111EB) & mask
+            x ^= x >> 31
+            ones[64 * step : 64 * step + 64] += [x >> b & 1 for b in range(64)]
+    assert (wide == (ones * 2 > len(hashes))).all() and len(simhash.wide_fingerprint(b" ")) == simhash.WIDE // 8
