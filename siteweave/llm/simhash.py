@@ -315,19 +315,15 @@ def wide_fingerprint(text: bytes, words: int = 2) -> bytes:
     k = min(words, len(tokens))
     digest = xxhash.xxh64_intdigest
     hashes = np.array([digest(b" ".join(tokens[i : i + k]), 42) for i in range(len(tokens) - k + 1)], np.uint64)
-    values, times = np.unique(hashes, return_counts=True)
     steps = np.arange(1, WIDE // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    counts = np.zeros((WIDE // 8) * 256)
-    at = np.arange(WIDE // 8) * 256
-    for block in range(0, len(values), 1 << 12):
-        mixed = values[block : block + (1 << 12), None] + steps
+    counts = np.zeros(WIDE, np.int64)
+    for block in range(0, len(hashes), 255):  # as many rows as a sum in bytes can hold
+        mixed = hashes[block : block + 255, None] + steps
         mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         mixed ^= mixed >> np.uint64(31)
-        where = mixed.view(np.uint8).reshape(len(mixed), -1) + at
-        counts += np.bincount(where.ravel(), np.repeat(times[block : block + (1 << 12)], len(at)), len(counts))
-    bits = counts.reshape(-1, 256) @ np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
-    return np.packbits(bits.ravel() * 2 > len(hashes), bitorder="little").tobytes()
+        counts += np.unpackbits(mixed.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return np.packbits(counts * 2 > len(hashes), bitorder="little").tobytes()
 
 
 def shingle_set(text: bytes, words: int) -> np.ndarray:
