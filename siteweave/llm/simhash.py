@@ -11,9 +11,8 @@ index entries exceed a bound is not joined: its fingerprints are linked through
 fingerprints share exactly if they differ in at most two bits. That way is exact too and its rows grow with the
 number of fingerprints, not with its square.
 
-``similar_texts`` links texts by the similarity of their shingle sets instead. Texts with a similarity of 0.8 lie too
-far apart in 64 bits for any pigeonhole guarantee, so it makes fingerprints of 1,024 bits, gives partitions the
-thresholds 0 or -1 by the same dynamic program, and compares the shingle sets of what meets.
+``similar_texts`` links texts by the similarity of their shingle sets instead, exactly. Texts with a similarity of 0.8
+lie too far apart in any fingerprint, so candidates meet at the first shingles of each set (prefix filter).
 """
 
 from __future__ import annotations
@@ -26,7 +25,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siteweave.llm.common import materialize, text_bytes
@@ -298,17 +297,17 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
 
 WIDE = 1024
-#: Share of bits in which texts with a shingle similarity of 0.8 differ, for shingles of two words, and the share of
-#: such pairs that may go unseen.
-APART, UNSEEN = 0.11, 0.01
-#: Bits of the first 64 in which candidates may differ before their shingles are compared.
-ROUGH = 18
-#: Members of a meeting point that are paired one by one; beyond it each is paired with the first ``LEADERS``.
-CROWD, LEADERS = 64, 4
+#: Pairs a text that may be left after a round of leaders, up to which they are joined without another round.
+CROWD = 64
+#: Texts from which the order of shingles is estimated, and the most shingles that are moved back in it.
+ORDER, COMMON = 1 << 14, 1 << 17
 
 
 def wide_fingerprint(text: bytes, words: int = 2) -> bytes:
-    """SimHash of ``WIDE`` bits: each shingle's XXH64 is mixed into as many 64-bit values as that takes."""
+    """SimHash of ``WIDE`` bits: each shingle's XXH64 is mixed into as many 64-bit values as that takes.
+
+    Repeats count. ``similar_texts`` does not use it: its measure is the set of shingles.
+    """
     tokens = text.lower().split()
     if not tokens:
         return bytes(WIDE // 8)
@@ -333,115 +332,151 @@ def shingle_set(text: bytes, words: int) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(tokens[i : i + k]), 42) for i in range(len(tokens) - k + 1)] if tokens else [], np.uint64))
 
 
-def choose_partitions(classes: DataFrame, count: int) -> np.ndarray:
-    """Partitions of the wide fingerprint to probe with threshold 0: rows of bit numbers.
+def _common(held: DataFrame, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles (sorted) that several texts of a sample hold, with their counts there.
 
-    Partitions have two bits more than the number of fingerprints calls for, so chance meetings stay few for each
-    text at any size. Half as many again as needed are drawn; the dynamic program gives threshold 0 to those with the
-    fewest estimated meetings and -1 to the others. The driver gets one sum for each bit.
+    They only decide the order of shingles: links are complete under any order, and cheaper if common ones come last.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(WIDE)
         for batch in batches:
-            total += _unpack(batch.column(0)).sum(axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(WIDE)), pa.array(total)], ["at", "n"])
+            for x in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x.as_buffer(), np.int64))], ["token"])
 
-    share = np.zeros(WIDE)
-    for at, n in classes.select("sig").mapInArrow(run, "at long, n double").groupBy("at").agg(F.sum("n")).collect():
-        share[at] = n / max(count, 1)
-    width = min(max(math.ceil(math.log2(count + 1)) + 2, 16), 48)
-    needed = math.ceil(math.log(UNSEEN) / math.log(1 - (1 - APART) ** width))
-    rng = np.random.default_rng(WIDE)
-    drawn = np.stack([rng.permutation(WIDE)[:width] for _ in range(needed + needed // 2)])
-    costs = np.zeros((1, len(drawn), 2))
-    costs[0, :, 1] = np.prod(share[drawn] ** 2 + (1 - share[drawn]) ** 2, axis=1)
-    return drawn[allocate(costs, needed - len(drawn))[0] == 0]
+    drawn = held.filter(F.pmod(F.xxhash64("id"), F.lit(max(1, count // ORDER))) == 0)
+    top = drawn.select("held").mapInArrow(run, "token long").groupBy("token").agg(F.count("*").alias("n")).filter("n > 1").orderBy(F.desc("n"), "token").limit(COMMON).toArrow()
+    tokens, n = (np.asarray(top.column(i).to_numpy(), np.int64) for i in range(2))
+    tokens = tokens.view(np.uint64)
+    order = np.argsort(tokens)
+    return tokens[order], n[order]
 
 
-def _unpack(column: pa.Array) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, WIDE // 8), axis=1, bitorder="little")
+def prefix(tokens: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """The first shingles of a set, in the order of (count in the sample, hash).
+
+    Two sets that reach the similarity share at least that part of the larger one, so one of these is in both prefixes.
+    """
+    names, n = common
+    weight = np.zeros(len(tokens), np.int64)
+    if len(names) and len(tokens):
+        at = np.minimum(np.searchsorted(names, tokens), len(names) - 1)
+        weight = np.where(names[at] == tokens, n[at], 0)
+    return tokens[np.lexsort((tokens, weight))][: len(tokens) - math.ceil(similarity * len(tokens) - 1e-9) + 1]
 
 
-def _candidates(classes: DataFrame, chosen: np.ndarray) -> DataFrame:
-    """(a, b): pairs of classes that share the value of a chosen partition and are roughly near in the first 64 bits."""
-    powers = np.uint64(1) << np.arange(chosen.shape[1], dtype=np.uint64)
+def _meetings(held: DataFrame, common: tuple[np.ndarray, np.ndarray], similarity: float) -> DataFrame:
+    """(token, id, size, pos): the prefix of each set, as far as another set has the shingle in its prefix too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not len(batch):
-                continue
-            bits = _unpack(batch.column(1))
-            first = np.packbits(bits[:, :64], axis=1, bitorder="little").view("<i8").ravel()
-            for i, places in enumerate(chosen):
-                values = (bits[:, places] * powers).sum(axis=1, dtype=np.uint64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(batch), i, np.int32)), pa.array(values.view(np.int64)), batch.column(0), pa.array(first)], ["part", "value", "id", "first"])
-
-    entries = classes.select("id", "sig").mapInArrow(run, "part int, value long, id binary, first long")
-    sizes = entries.groupBy("part", "value").agg(F.count("*").alias("n")).filter("n > 1")
-    met = materialize(entries.join(sizes, ["part", "value"]), "similar-met")
-    near = F.bit_count(F.col("first").bitwiseXOR(F.col("other"))) <= ROUGH
-    right = met.select("part", "value", F.col("id").alias("b"), F.col("first").alias("other"))
-    few = met.filter(F.col("n") <= CROWD).drop("n")
-    crowd = met.filter(F.col("n") > CROWD).drop("n")
-    # min_by of structs in steps, each a partial aggregate: no window sorts a crowded value in one task
-    heads, rest = None, crowd
-    for _ in range(LEADERS):
-        head = rest.groupBy("part", "value").agg(F.min(F.struct("id", "first")).alias("h")).select("part", "value", "h.*")
-        heads = head if heads is None else heads.unionByName(head)
-        rest = rest.join(head.select("part", "value", F.col("id").alias("taken")), ["part", "value"]).filter("id > taken").drop("taken")
-    left = few.unionByName(materialize(heads, "similar-heads"))
-    return left.join(right, ["part", "value"]).filter((F.col("id") < F.col("b")) & near).select(F.col("id").alias("a"), "b").distinct()
+            out: list[tuple] = []
+            rows = 0
+            for i, x in enumerate(batch.column(1)):
+                tokens = np.frombuffer(x.as_buffer(), np.uint64)
+                if len(tokens):
+                    first = prefix(tokens, common, similarity)
+                    out.append((first.view(np.int64), np.full(len(first), i), np.full(len(first), len(tokens), np.int32), np.arange(len(first), dtype=np.int32)))
+                    rows += len(first)
+                if out and (rows > 1 << 16 or i + 1 == len(batch)):
+                    token, at, size, pos = (np.concatenate(c) for c in zip(*out, strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(token), batch.column(0).take(pa.array(at)), pa.array(size), pa.array(pos)], ["token", "id", "size", "pos"])
+                    out, rows = [], 0
+
+    entries = held.select("id", "held").mapInArrow(run, "token long, id binary, size int, pos int")
+    shared = entries.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1").select("token")
+    return materialize(entries.join(shared, "token"), "similar-met")
+
+
+def _tied(held: DataFrame, met: DataFrame, count: int, similarity: float) -> DataFrame:
+    """(node, root) over all links between sets that reach the similarity.
+
+    In each round every shingle compares one leader with the other sets that it meets, and is done with that leader;
+    sets that are in one component already need no comparison. Rounds go on while each at least halves the pairs that
+    are left; then all of those are compared at once. No pair is skipped but by bounds on its similarity or because
+    its sets are linked already.
+    """
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    def links_of(left: DataFrame, right: DataFrame, differ: Column) -> DataFrame:
+        """Verified links (a, b) among rows of ``left`` (id, root, size, pos) and ``right`` that meet at a shingle."""
+        other = right.select("token", *[F.col(c).alias(f"{c}_b") for c in ("id", "root", "size", "pos")])
+        most = F.least("pos", "pos_b") + 1 + F.least(F.col("size") - F.col("pos"), F.col("size_b") - F.col("pos_b")) - 1
+        possible = most >= (F.col("size") + F.col("size_b")) * (similarity / (1 + similarity)) - 1e-6
+        lengths = F.least("size", "size_b") >= F.greatest("size", "size_b") * similarity - 1e-6
+        pairs = left.join(other, "token").filter(differ & lengths & possible)
+        pairs = materialize(pairs.select(F.least("id", "id_b").alias("a"), F.greatest("id", "id_b").alias("b")).distinct(), "similar-pairs")
+        wanted = held.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi")
+        x, y = (wanted.select(F.col("id").alias(n), F.col("held").alias(f"held_{n}")) for n in "ab")
+        return pairs.join(x, "a").join(y, "b").select("a", "b", "held_a", "held_b").mapInArrow(verify, "a binary, b binary")
+
+    tied, before = None, None
+    while True:
+        rows = met.withColumn("root", F.col("id")) if tied is None else met.join(tied.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        rows = materialize(rows.select("token", "id", "size", "pos", "root"), "similar-rows")
+        groups = rows.groupBy("token", "root").agg(F.count("*").alias("c"), F.min("id").alias("id"))
+        # the leader is of the smallest component at the shingle, where it meets most that it is not linked with
+        tokens = groups.groupBy("token").agg(F.count("*").alias("roots"), F.sum("c").alias("n"), F.sum(F.col("c").cast("double") * F.col("c")).alias("squares"), F.min(F.struct("c", "id")).alias("h")).filter("roots > 1")
+        tokens = materialize(tokens.select("token", F.col("h.id").alias("leader"), ((F.col("n").cast("double") * F.col("n") - F.col("squares")) / 2).alias("pairs")), "similar-tokens")
+        left = tokens.agg(F.sum("pairs")).first()[0]
+        if not left:
+            break
+        open_ = rows.join(tokens.select("token", "leader"), "token")
+        last = before is not None and (left <= CROWD * count or left > before / 2)
+        if last:
+            found = links_of(open_.drop("leader"), open_.drop("leader"), F.col("root") < F.col("root_b"))
+        else:
+            leaders = open_.filter("id = leader").drop("leader")
+            met = materialize(open_.filter("id <> leader").select("token", "id", "size", "pos"), "similar-met")
+            found = links_of(leaders, open_.drop("leader"), F.col("root") != F.col("root_b"))
+        tied = components(found if tied is None else found.unionByName(tied.select(F.col("root").alias("a"), F.col("node").alias("b")).filter("a <> b")))
+        if last:
+            break
+        before = left
+    return tied if tied is not None else rows.select(F.col("id").alias("node"), "root").limit(0)
 
 
 def similar_texts(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row for each row of ``docs``: key, component (smallest key reachable over links, itself included).
 
-    Two texts are linked if they have the same words in the same order, or if they met in a partition and the Jaccard
-    similarity of their sets of ``words``-word shingles is ``similarity`` or more: no link is wrong, and of the pairs
-    at 0.8 about one in a hundred is expected to go unseen. In a partition value that more than ``CROWD`` different
-    texts share, each is compared with the first ``LEADERS`` of them only. Texts null, empty or without a word are
-    copies of one another. Repeated rows stay repeated; other columns are not read.
+    Two texts are linked if they have the same words in the same order, or if the Jaccard similarity of their sets of
+    ``words``-word shingles (as XXH64 values) is ``similarity`` or more; components are those of all such links. Texts
+    null, empty or without a word are copies of one another. Repeated rows stay repeated; other columns are not read.
     """
     kind = docs.schema[key].dataType.simpleString()
     given = docs.select(F.col(key).alias("key"), text_bytes(text).alias("b"))
 
+    def name(body: bytes) -> bytes:
+        return hashlib.md5(b" ".join(body.lower().split())).digest()
+
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, made = [], {}
-            for x in batch.column(1):
-                body = x.as_buffer().to_pybytes()
-                h = hashlib.md5(b" ".join(body.lower().split())).digest()
-                if h not in made:
-                    made[h] = wide_fingerprint(body)
-                ids.append(h)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array([made[h] for h in ids], pa.binary())], ["key", "id", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([name(x.as_buffer().to_pybytes()) for x in batch.column(1)], pa.binary())], ["key", "id"])
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:  # rows may share a key, not a text
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(x.as_buffer().to_pybytes(), words).tobytes() for x in batch.column(1)], pa.binary())], ["id", "held"])
+            yield batch.filter(pa.array([name(b.as_buffer().to_pybytes()) == i.as_py() for i, b in zip(batch.column(0), batch.column(1), strict=True)], pa.bool_()))
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= similarity * (len(x) + len(y) - both))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(x.as_buffer().to_pybytes(), words).tobytes() for x in batch.column(1)], pa.binary())], ["id", "held"])
 
-    marks = materialize(given.mapInArrow(mark, f"key {kind}, id binary, sig binary"), "similar-marks")
-    classes = materialize(marks.groupBy("id").agg(F.min("key").alias("least"), F.first("sig").alias("sig")), "similar-classes")
-    pairs = materialize(_candidates(classes, choose_partitions(classes, classes.count())), "similar-pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    chosen = classes.join(wanted, "id", "left_semi").select("id", F.col("least").alias("key"))
-    held = materialize(given.join(chosen, "key").dropDuplicates(["id"]).select("id", "b").mapInArrow(sets, "id binary, held binary"), "similar-sets")
-    x, y = (held.select(F.col("id").alias(n), F.col("held").alias(f"held_{n}")) for n in "ab")
-    found = pairs.join(x, "a").join(y, "b").select("a", "b", "held_a", "held_b").mapInArrow(verify, "a binary, b binary")
-    tied = components(found)
-    rooted = classes.select("id", "least").join(tied.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    marks = materialize(given.mapInArrow(mark, f"key {kind}, id binary"), "similar-marks")
+    classes = materialize(marks.groupBy("id").agg(F.min("key").alias("least")), "similar-classes")
+    count = classes.count()
+    texts = given.join(classes, F.col("key").eqNullSafe(F.col("least"))).select("id", "b").mapInArrow(own, "id binary, b binary").dropDuplicates(["id"])
+    held = materialize(texts.mapInArrow(sets, "id binary, held binary"), "similar-sets")
+    tied = _tied(held, _meetings(held, _common(held, count), similarity), count, similarity)
+    rooted = classes.join(tied.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    return marks.select("key", "id").join(rooted.join(smallest, "root").select("id", "component"), "id").select(F.col("key").alias(key), "component")
+    return marks.join(rooted.join(smallest, "root").select("id", "component"), "id").select(F.col("key").alias(key), "component")
 
 
 def op2_simhash(spark, sf_dir: str) -> DataFrame:

@@ -333,3 +333,25 @@ def test_wide_fingerprint():
             x ^= x >> 31
             ones[64 * step : 64 * step + 64] += [x >> b & 1 for b in range(64)]
     assert (wide == (ones * 2 > len(hashes))).all() and len(simhash.wide_fingerprint(b" ")) == simhash.WIDE // 8
+
+
+def similar_as_brute_force(spark, rows):
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute_similar(rows)
+    got = [(r.doc_id, r.component) for r in simhash.similar_texts(table).collect()]
+    assert sorted(got) == sorted((i, want[i]) for i, _ in rows)
+    return want
+
+
+def test_similar_texts_with_changed_blocks(spark):
+    rng = np.random.default_rng(11)
+    rows = []
+    for group in range(60):
+        words = [f"w{x}" for x in rng.integers(0, 100000, 200)]
+        block = [f"b{x}" for x in rng.integers(0, 100000, 47)]
+        cut, at = int(rng.integers(34, 40)), int(rng.integers(20, 140))
+        swapped = [*words[:at], *block[:17], *words[at + 17 :]]
+        kinds = [words, words + block, words[cut:], swapped]  # similarities from 0.8 to 0.83
+        rows += [(10 * group + i, " ".join(k)) for i, k in enumerate(kinds)]
+    want = similar_as_brute_force(spark, rows)
+    assert all(want[i] == i - i % 10 for i, _ in rows)
