@@ -355,3 +355,13 @@ def test_similar_texts_with_changed_blocks(spark):
         rows += [(10 * group + i, " ".join(k)) for i, k in enumerate(kinds)]
     want = similar_as_brute_force(spark, rows)
     assert all(want[i] == i - i % 10 for i, _ in rows)
+
+
+def test_similar_texts_with_repeated_lines(spark):
+    line = " ".join(f"line{x}" for x in range(12))
+    rows = []
+    for group in range(20):
+        own = " ".join(f"g{group}w{x}" for x in range(100))
+        rows += [(10 * group + i, " ".join([own] + [line] * n)) for i, n in enumerate((3, 60))]
+    want = similar_as_brute_force(spark, rows)
+    assert all(want[i] == i - i % 10 for i, _ in rows)
