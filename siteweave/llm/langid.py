@@ -2,21 +2,23 @@
 
 Byte 1- to 3-grams of the lower-cased text are hashed into a vector of fixed size. Weights are dampened counts times
 the inverse document frequency. Each language gets several centroids by spherical k-means; a text takes the language
-of the centroid with the largest cosine. If that cosine is far below what members of the language reach, the text is
-marked as rejected.
+of the centroid with the largest cosine. If that cosine is far below what held-out members of the language reach in
+texts of that length, the text is marked as rejected.
 
-The model is fitted on a bounded sample of labelled rows (``SAMPLE`` rows in all); every row is classified whole.
+The model is fitted on a bounded sample of labelled rows (``SAMPLE`` rows in all, but at least one a language); every
+row is classified whole.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,8 +30,12 @@ DIMENSIONS = 1 << 12
 SAMPLE = 2048
 #: Centroids of each language.
 CENTROIDS = 4
-#: A text is rejected below this share of the lowest cosine that a member of its language's clusters has to its centroid.
-REJECT = 0.25
+#: A text is rejected below this share of the cosine that all but the share ``LOW`` of held-out members reach.
+REJECT, LOW = 0.5, 0.05
+#: Lengths in characters from which a floor of its own holds; shorter texts show too little to be rejected.
+LENGTHS = (8, 16, 32, 64, 128, 256, 512, 1024)
+#: Held-out members from which a centroid has floors of its own, and the least share of its language's rows.
+OWN, LEAST = 32, 0.01
 UNDETERMINED = "und"
 
 LETTER = regex.compile(r"\p{L}")
@@ -56,7 +62,7 @@ def weigh(rows: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Model:
-    """languages[i] is the language of row i of the centroids; floors[i] is the cosine below which it rejects."""
+    """languages[i] is the language of row i of the centroids; floors[i] are the cosines below which it rejects, by length."""
 
     languages: list[str]
     idf: np.ndarray
@@ -67,7 +73,7 @@ class Model:
         cosines = self.centroids @ weigh(counts(text), self.idf)
         i = int(np.argmax(cosines))
         score = float(min(1.0, max(0.0, cosines[i])))
-        return self.languages[i], score, score < self.floors[i]
+        return self.languages[i], score, bool(score < self.floors[i, bisect_right(LENGTHS, len(text))])
 
 
 def cluster(rows: np.ndarray, k: int, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
@@ -88,45 +94,75 @@ def cluster(rows: np.ndarray, k: int, rounds: int = 12) -> tuple[np.ndarray, np.
     return centroids, np.argmax(rows @ centroids.T, axis=1)
 
 
+def _floors(heads: list[str], vectors: np.ndarray, made: np.ndarray, idf: np.ndarray, centroids: int) -> np.ndarray:
+    """Row i, column c: the cosine below which centroid i rejects texts of length class c; class 0 rejects none.
+
+    Rows are cut to each length and compared with centroids of the other half of the rows. A low quantile is taken, so
+    a few mislabelled rows move nothing. A length that no row has takes the floor of the length before.
+    """
+    halves = [np.arange(len(heads)) % 2 == f for f in range(2)]
+    others = [cluster(vectors[~own], centroids)[0] if (~own).any() else made for own in halves]
+    out = np.zeros((len(made), len(LENGTHS) + 1))
+    for c, length in enumerate(LENGTHS, 1):
+        cosines, nearest = [], []
+        for own, other in zip(halves, others, strict=True):
+            cut = [heads[i][:length] for i in np.flatnonzero(own) if len(heads[i]) >= length]
+            if cut:
+                rows = weigh(np.stack([counts(t) for t in cut]), idf)
+                cosines.append((rows @ other.T).max(axis=1))
+                nearest.append((rows @ made.T).argmax(axis=1))
+        if not cosines:
+            out[:, c] = out[:, c - 1]
+            continue
+        cosine, at = np.concatenate(cosines), np.concatenate(nearest)
+        for i in range(len(made)):
+            own = cosine[at == i]
+            out[i, c] = REJECT * np.quantile(own if len(own) >= OWN else cosine, LOW)
+    return out
+
+
 def fit(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", training: Column | None = None, sample: int = SAMPLE, centroids: int = CENTROIDS) -> Model | None:
-    """Fits centroids on at most ``sample`` labelled rows, an equal share for each language; None if there is no labelled row.
+    """Fits centroids on an equal share of labelled rows for each language; None if there is no labelled row.
 
-    ``training`` restricts the rows to learn from. Rows are drawn by a hash of their key. Only their vectors, of fixed
-    size, reach the driver.
+    The share is ``sample`` over the number of languages, but at least one row. ``training`` restricts the rows to
+    learn from. Rows are drawn by a hash of their key. Only their vectors, of fixed size, and the first characters of
+    their texts reach the driver.
     """
     rows = docs.filter(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
     rows = rows.filter(training) if training is not None else rows
-    sizes = {r[0]: r[1] for r in rows.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(sample).collect()}
+    sizes = {r[0]: r[1] for r in rows.groupBy(lang).count().collect()}
     if not sizes:
         return None
     share = max(1, sample // len(sizes))
     draw = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(7)), F.lit(1 << 30))
-    bounds = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(int(min(1.0, 1.3 * share / n + 1e-6) * (1 << 30))))])
+    # as many draws as give every language its share but for a chance of about one in a hundred million
+    wide = share + 6 * share**0.5 + 12
+    bounds = F.create_map(*[x for k, n in sorted(sizes.items()) for x in (F.lit(k), F.lit(int(min(1.0, wide / n) * (1 << 30))))])
     drawn = rows.withColumn("draw", draw).filter(F.col("draw") <= bounds[F.col(lang)]).select("draw", F.col(lang).alias("lang"), F.col(text).alias("text"))
+    drawn = drawn.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("draw", F.xxhash64("text")))).filter(F.col("place") <= share)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            packed = [counts(t).astype("<f4").tobytes() for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], ["draw", "lang", "v"])
+            texts = batch.column(2).to_pylist()
+            packed = [counts(t).astype("<f4").tobytes() for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary()), pa.array([t[: LENGTHS[-1]] for t in texts], pa.string())], ["draw", "lang", "v", "head"])
 
-    found = drawn.mapInArrow(run, "draw long, lang string, v binary").orderBy("draw", "lang", "v").limit(sample).collect()
-    taken: dict[str, list[np.ndarray]] = {}
+    found = drawn.select("draw", "lang", "text").mapInArrow(run, "draw long, lang string, v binary, head string").orderBy("draw", "lang", "v").collect()
+    taken: dict[str, list] = {}
     for r in found:
-        own = taken.setdefault(r.lang, [])
-        if len(own) < share:
-            own.append(np.frombuffer(r.v, "<f4"))
-    every = np.concatenate([np.stack(v) for v in taken.values()])
+        taken.setdefault(r.lang, []).append((np.frombuffer(r.v, "<f4"), r.head))
+    every = np.concatenate([np.stack([x for x, _ in v]) for v in taken.values()])
     idf = np.log((1 + len(every)) / (1 + (every > 0).sum(axis=0))).astype(np.float32) + np.float32(0.05)
     languages, parts, floors = [], [], []
     for name in sorted(taken):
-        vectors = weigh(np.stack(taken[name]), idf)
+        vectors = weigh(np.stack([x for x, _ in taken[name]]), idf)
         made, own = cluster(vectors, centroids)
-        reach = (vectors * made[own]).sum(axis=1)
-        for centroid in made:
-            languages.append(name)
-            parts.append(centroid)
-            floors.append(REJECT * float(reach.min()))
-    return Model(languages, idf, np.stack(parts).astype(np.float32), np.array(floors))
+        held = np.bincount(own, minlength=len(made))
+        made = made[held >= min(LEAST * len(vectors), held.max())]  # a few odd rows are no kind of text of the language
+        languages += [name] * len(made)
+        parts.append(made)
+        floors.append(_floors([h for _, h in taken[name]], vectors, made, idf, centroids))
+    return Model(languages, idf, np.concatenate(parts).astype(np.float32), np.concatenate(floors))
 
 
 def predict(docs: DataFrame, model: Model | None, *, text: str = "text") -> DataFrame:

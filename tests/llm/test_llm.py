@@ -365,3 +365,23 @@ def test_similar_texts_with_repeated_lines(spark):
         rows += [(10 * group + i, " ".join([own] + [line] * n)) for i, n in enumerate((3, 60))]
     want = similar_as_brute_force(spark, rows)
     assert all(want[i] == i - i % 10 for i, _ in rows)
+
+
+def test_rare_languages_are_learned(spark):
+    rows = [(1000 * i + n, f"{name} text {n}", name) for i, name in enumerate("abcdefg") for n in range(400 if name != "d" else 8)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=70)
+    assert set(model.languages) == set("abcdefg")
+
+
+def test_foreign_texts_are_rejected(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    rng = np.random.default_rng(3)
+    noise = [(-i - 1, "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz     "), 400)), "en") for i in range(30)]
+    junk = spark.createDataFrame(noise, table.schema)
+    held_out = F.col("doc_id") % 4 == 1
+    model = langid.fit(table.filter(F.col("lang").isin("en", "de") & ~held_out).unionByName(junk.filter("doc_id > -3")))
+    out = langid.predict(table.filter(held_out & F.col("text").rlike("[a-z]")).unionByName(junk.filter("doc_id < -10")), model).toPandas()
+    noisy, known = out.doc_id < 0, out.lang.isin(["en", "de"])
+    assert out[noisy].rejected.all()
+    assert out[~noisy & (out.lang == "es") & (out.text.str.len() > 200)].rejected.mean() > 0.9
+    assert (~out[~noisy & known].rejected).mean() > 0.97
