@@ -385,3 +385,19 @@ def test_foreign_texts_are_rejected(spark):
     assert out[noisy].rejected.all()
     assert out[~noisy & (out.lang == "es") & (out.text.str.len() > 200)].rejected.mean() > 0.9
     assert (~out[~noisy & known].rejected).mean() > 0.97
+
+
+def test_crowds_of_similar_texts(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CROWD", 2)
+    monkeypatch.setattr(simhash, "LEADERS", 1, raising=False)
+    rng = np.random.default_rng(12)
+    base = [f"w{x}" for x in rng.integers(0, 100000, 178)]
+    rows = []
+    for group in range(150):  # groups have 0.78 in common with each other
+        own = [f"g{group}x{x}" for x in range(22)]
+        for copy in range(3):
+            rows.append((10 * group + copy, " ".join([*base, *own[:-1], f"end{copy}"])))
+    stream = [f"s{x}" for x in rng.integers(0, 100000, 1000)]
+    rows += [(5000 + i, " ".join(stream[10 * i : 10 * i + 150])) for i in range(80)]  # a chain: only neighbours are similar
+    want = similar_as_brute_force(spark, rows)
+    assert all(want[i] == (5000 if i >= 5000 else i - i % 10) for i, _ in rows)
