@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -332,7 +332,12 @@ def shingle_set(text: bytes, words: int) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(tokens[i : i + k]), 42) for i in range(len(tokens) - k + 1)] if tokens else [], np.uint64))
 
 
-def _common(held: DataFrame, count: int) -> tuple[np.ndarray, np.ndarray]:
+def text_name(body: bytes) -> bytes:
+    """The same for texts with the same words in the same order."""
+    return hashlib.md5(b" ".join(body.lower().split())).digest()
+
+
+def _common(given: DataFrame, count: int, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles (sorted) that several texts of a sample hold, with their counts there.
 
     They only decide the order of shingles: links are complete under any order, and cheaper if common ones come last.
@@ -341,10 +346,12 @@ def _common(held: DataFrame, count: int) -> tuple[np.ndarray, np.ndarray]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for x in batch.column(0):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x.as_buffer(), np.int64))], ["token"])
+                body = x.as_buffer().to_pybytes()
+                if int.from_bytes(text_name(body)[:8]) % every == 0:
+                    yield pa.RecordBatch.from_arrays([pa.array(shingle_set(body, words).view(np.int64))], ["token"])
 
-    drawn = held.filter(F.pmod(F.xxhash64("id"), F.lit(max(1, count // ORDER))) == 0)
-    top = drawn.select("held").mapInArrow(run, "token long").groupBy("token").agg(F.count("*").alias("n")).filter("n > 1").orderBy(F.desc("n"), "token").limit(COMMON).toArrow()
+    every = max(1, count // ORDER)
+    top = given.select("b").mapInArrow(run, "token long").groupBy("token").agg(F.count("*").alias("n")).filter("n > 1").orderBy(F.desc("n"), "token").limit(COMMON).toArrow()
     tokens, n = (np.asarray(top.column(i).to_numpy(), np.int64) for i in range(2))
     tokens = tokens.view(np.uint64)
     order = np.argsort(tokens)
@@ -364,35 +371,42 @@ def prefix(tokens: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity
     return tokens[np.lexsort((tokens, weight))][: len(tokens) - math.ceil(similarity * len(tokens) - 1e-9) + 1]
 
 
-def _meetings(held: DataFrame, common: tuple[np.ndarray, np.ndarray], similarity: float) -> DataFrame:
-    """(token, id, size, pos): the prefix of each set, as far as another set has the shingle in its prefix too."""
+def _meetings(given: DataFrame, common: tuple[np.ndarray, np.ndarray], words: int, similarity: float) -> DataFrame:
+    """(token, id, size, pos): the prefix of each set, as far as another row has the shingle in its prefix too.
+
+    Sets are made twice here, and again where they are compared: that takes less disk than keeping them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            bodies = [x.as_buffer().to_pybytes() for x in batch.column(0)]
+            names = [text_name(b) for b in bodies]
+            ids = pa.array(names, pa.binary())
             out: list[tuple] = []
-            rows = 0
-            for i, x in enumerate(batch.column(1)):
-                tokens = np.frombuffer(x.as_buffer(), np.uint64)
+            rows, seen = 0, set()
+            for i, body in enumerate(bodies):
+                tokens = shingle_set(body, words) if names[i] not in seen else ()
+                seen.add(names[i])
                 if len(tokens):
                     first = prefix(tokens, common, similarity)
                     out.append((first.view(np.int64), np.full(len(first), i), np.full(len(first), len(tokens), np.int32), np.arange(len(first), dtype=np.int32)))
                     rows += len(first)
-                if out and (rows > 1 << 16 or i + 1 == len(batch)):
+                if out and (rows > 1 << 16 or i + 1 == len(bodies)):
                     token, at, size, pos = (np.concatenate(c) for c in zip(*out, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(token), batch.column(0).take(pa.array(at)), pa.array(size), pa.array(pos)], ["token", "id", "size", "pos"])
+                    yield pa.RecordBatch.from_arrays([pa.array(token), ids.take(pa.array(at)), pa.array(size), pa.array(pos)], ["token", "id", "size", "pos"])
                     out, rows = [], 0
 
-    entries = held.select("id", "held").mapInArrow(run, "token long, id binary, size int, pos int")
+    entries = given.select("b").mapInArrow(run, "token long, id binary, size int, pos int")
     shared = entries.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1").select("token")
-    return materialize(entries.join(shared, "token"), "similar-met")
+    return materialize(entries.join(shared, "token").dropDuplicates(["token", "id"]), "similar-met")
 
 
-def _tied(held: DataFrame, met: DataFrame, count: int, similarity: float) -> DataFrame:
+def _tied(sets_of: Callable[[DataFrame], DataFrame], met: DataFrame, count: int, similarity: float) -> DataFrame:
     """(node, root) over all links between sets that reach the similarity.
 
     In each round every shingle compares one leader with the other sets that it meets, and is done with that leader;
     sets that are in one component already need no comparison. Rounds go on while each at least halves the pairs that
-    are left; then all of those are compared at once. No pair is skipped but by bounds on its similarity or because
+    are left; then all of those are compared at once. ``sets_of`` gives (id, held) for a table of ids. No pair is skipped but by bounds on its similarity or because
     its sets are linked already.
     """
 
@@ -413,7 +427,7 @@ def _tied(held: DataFrame, met: DataFrame, count: int, similarity: float) -> Dat
         lengths = F.least("size", "size_b") >= F.greatest("size", "size_b") * similarity - 1e-6
         pairs = left.join(other, "token").filter(differ & lengths & possible)
         pairs = materialize(pairs.select(F.least("id", "id_b").alias("a"), F.greatest("id", "id_b").alias("b")).distinct(), "similar-pairs")
-        wanted = held.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi")
+        wanted = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
         x, y = (wanted.select(F.col("id").alias(n), F.col("held").alias(f"held_{n}")) for n in "ab")
         return pairs.join(x, "a").join(y, "b").select("a", "b", "held_a", "held_b").mapInArrow(verify, "a binary, b binary")
 
@@ -453,16 +467,13 @@ def similar_texts(docs: DataFrame, *, key: str = "doc_id", text: str = "text", w
     kind = docs.schema[key].dataType.simpleString()
     given = docs.select(F.col(key).alias("key"), text_bytes(text).alias("b"))
 
-    def name(body: bytes) -> bytes:
-        return hashlib.md5(b" ".join(body.lower().split())).digest()
-
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([name(x.as_buffer().to_pybytes()) for x in batch.column(1)], pa.binary())], ["key", "id"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([text_name(x.as_buffer().to_pybytes()) for x in batch.column(1)], pa.binary())], ["key", "id"])
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:  # rows may share a key, not a text
         for batch in batches:
-            yield batch.filter(pa.array([name(b.as_buffer().to_pybytes()) == i.as_py() for i, b in zip(batch.column(0), batch.column(1), strict=True)], pa.bool_()))
+            yield batch.filter(pa.array([text_name(b.as_buffer().to_pybytes()) == i.as_py() for i, b in zip(batch.column(0), batch.column(1), strict=True)], pa.bool_()))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -471,9 +482,13 @@ def similar_texts(docs: DataFrame, *, key: str = "doc_id", text: str = "text", w
     marks = materialize(given.mapInArrow(mark, f"key {kind}, id binary"), "similar-marks")
     classes = materialize(marks.groupBy("id").agg(F.min("key").alias("least")), "similar-classes")
     count = classes.count()
-    texts = given.join(classes, F.col("key").eqNullSafe(F.col("least"))).select("id", "b").mapInArrow(own, "id binary, b binary").dropDuplicates(["id"])
-    held = materialize(texts.mapInArrow(sets, "id binary, held binary"), "similar-sets")
-    tied = _tied(held, _meetings(held, _common(held, count), similarity), count, similarity)
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        asked = classes.join(ids, "id", "left_semi")
+        texts = given.join(asked, F.col("key").eqNullSafe(F.col("least"))).select("id", "b").mapInArrow(own, "id binary, b binary").dropDuplicates(["id"])
+        return materialize(texts.mapInArrow(sets, "id binary, held binary"), "similar-sets")
+
+    tied = _tied(sets_of, _meetings(given, _common(given, count, words), words, similarity), count, similarity)
     rooted = classes.join(tied.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component"))
     return marks.join(rooted.join(smallest, "root").select("id", "component"), "id").select(F.col("key").alias(key), "component")
