@@ -11,15 +11,19 @@ index entries exceed a bound is not joined: its fingerprints are linked through
 fingerprints share exactly if they differ in at most two bits. That way is exact too and its rows grow with the
 number of fingerprints, not with its square.
 
-``similar_texts`` links texts by the similarity of their shingle sets instead, exactly. Texts with a similarity of 0.8
-lie too far apart in any fingerprint, so candidates meet at the first shingles of each set (prefix filter).
+``similar_texts`` links texts by the similarity of their shingle sets instead, exactly. A similarity of 0.8 puts texts
+too far apart for 64 bits, so the same principle is applied to the shingles themselves: similar sets differ in few
+members, so one of the first members of each set, in an order common to all, is shared (prefix filter). What meets there
+is checked on fingerprints of ``SKETCH`` bits, whose differing bits never outnumber the members that differ, and what
+is left is verified on the texts. At each shingle one leader is compared with the others, round by round, so a crowd of
+copies costs rows in proportion to its size.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -28,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siteweave.llm.common import materialize, text_bytes
+from siteweave.llm.common import broadcast_up_to, materialize, partitions, text_bytes, top_counts
 
 BITS = 64
 WORDS = 3
@@ -296,49 +300,85 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     return marks.join(rooted.join(smallest, "root").select("fp", "component"), "fp").select(key, "fp", "component")
 
 
-WIDE = 1024
+#: Bits of a wide fingerprint.
+SKETCH = 1024
 #: Pairs a text that may be left after a round of leaders, up to which they are joined without another round.
-CROWD = 64
-#: Texts from which the order of shingles is estimated, and the most shingles that are moved back in it.
-ORDER, COMMON = 1 << 14, 1 << 17
+CROWD = 2
+#: One text in ``EVERY`` (of few texts, more) tells which shingles are common; so many of these are moved back at most.
+EVERY, ORDER, COMMON = 16, 1 << 12, 1 << 18
+#: Texts that hold a shingle, by that estimate, from which its rows are dealt over ``SALTS`` tasks.
+HOT, SALTS = 1 << 12, 32
+#: Words whose hashes a worker remembers; it starts anew when full.
+CACHE = 1 << 18
+FACTOR = np.uint64(0x9E3779B97F4A7C15)
+MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
-def wide_fingerprint(text: bytes, words: int = 2) -> bytes:
-    """SimHash of ``WIDE`` bits: each shingle's XXH64 is mixed into as many 64-bit values as that takes.
+class _Hashes(dict):
+    """XXH64 by word."""
 
-    Repeats count. ``similar_texts`` does not use it: its measure is the set of shingles.
-    """
-    tokens = text.lower().split()
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= CACHE:
+            self.clear()
+        h = self[word] = xxhash.xxh64_intdigest(word, 42)
+        return h
+
+
+_hash_of = _Hashes()
+
+
+def _shingles(tokens: list[bytes], words: int) -> np.ndarray:
     if not tokens:
-        return bytes(WIDE // 8)
+        return np.zeros(0, np.uint64)
+    own = np.fromiter(map(_hash_of.__getitem__, tokens), np.uint64, len(tokens))
     k = min(words, len(tokens))
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(b" ".join(tokens[i : i + k]), 42) for i in range(len(tokens) - k + 1)], np.uint64)
-    steps = np.arange(1, WIDE // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    counts = np.zeros(WIDE, np.int64)
-    for block in range(0, len(hashes), 255):  # as many rows as a sum in bytes can hold
-        mixed = hashes[block : block + 255, None] + steps
-        mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        mixed ^= mixed >> np.uint64(31)
-        counts += np.unpackbits(mixed.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
-    return np.packbits(counts * 2 > len(hashes), bitorder="little").tobytes()
+    n = len(own) - k + 1
+    out = own[:n].copy()
+    for i in range(1, k):
+        out *= FACTOR
+        out += own[i : n + i]
+    out ^= out >> np.uint64(32)
+    out *= MIX
+    out ^= out >> np.uint64(29)
+    return np.unique(out)
 
 
 def shingle_set(text: bytes, words: int) -> np.ndarray:
-    """Sorted distinct XXH64 values of the shingles; a text with fewer words is one shingle, without a word none."""
-    tokens = text.lower().split()
-    k = min(words, len(tokens))
-    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(tokens[i : i + k]), 42) for i in range(len(tokens) - k + 1)] if tokens else [], np.uint64))
+    """Sorted distinct 64-bit hashes of the shingles; a text with fewer words is one shingle, without a word none."""
+    return _shingles(text.lower().split(), words)
+
+
+def _name(tokens: list[bytes]) -> int:
+    return int.from_bytes(hashlib.md5(b" ".join(tokens)).digest()[:8], "big", signed=True)
+
 
+def text_name(text: bytes) -> int:
+    """The same for texts with the same words in the same order: 64 bits of their MD5."""
+    return _name(text.lower().split())
 
-def text_name(body: bytes) -> bytes:
-    """The same for texts with the same words in the same order."""
-    return hashlib.md5(b" ".join(body.lower().split())).digest()
+
+def sketch(members: np.ndarray) -> bytes:
+    """Parities of a set's members over ``SKETCH`` cells: each member by which two sets differ flips one bit."""
+    cells = np.bincount((members >> np.uint64(20)).astype(np.int64) % SKETCH, minlength=SKETCH)
+    return np.packbits((cells & 1).astype(np.uint8)).tobytes()
+
+
+def prefix(members: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """The first members of a set, in the order of (how common they are, hash), and that number.
+
+    Two sets that reach the similarity share at least that part of the larger one, so one of these is in both prefixes.
+    """
+    names, n = common
+    weight = np.zeros(len(members), np.int64)
+    if len(names) and len(members):
+        at = np.minimum(np.searchsorted(names, members), len(names) - 1)
+        weight = np.where(names[at] == members, n[at], 0)
+    first = np.lexsort((members, weight))[: len(members) - math.ceil(similarity * len(members) - 1e-9) + 1]
+    return members[first], weight[first]
 
 
 def _common(given: DataFrame, count: int, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles (sorted) that several texts of a sample hold, with their counts there.
+    """Shingles (sorted) that several texts of a share of all texts hold, with an estimate of how many texts do.
 
     They only decide the order of shingles: links are complete under any order, and cheaper if common ones come last.
     """
@@ -346,152 +386,201 @@ def _common(given: DataFrame, count: int, words: int) -> tuple[np.ndarray, np.nd
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for x in batch.column(0):
-                body = x.as_buffer().to_pybytes()
-                if int.from_bytes(text_name(body)[:8]) % every == 0:
-                    yield pa.RecordBatch.from_arrays([pa.array(shingle_set(body, words).view(np.int64))], ["token"])
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(x.as_buffer().to_pybytes(), words).view(np.int64))], ["token"])
 
-    every = max(1, count // ORDER)
-    top = given.select("b").mapInArrow(run, "token long").groupBy("token").agg(F.count("*").alias("n")).filter("n > 1").orderBy(F.desc("n"), "token").limit(COMMON).toArrow()
+    every = min(EVERY, max(1, count // ORDER))
+    some = given.select("b").filter(F.pmod(F.xxhash64("b"), F.lit(every)) == 0)
+    counted = some.mapInArrow(run, "token long").groupBy("token").agg(F.count("*").alias("n")).filter("n > 1")
+    top = top_counts(materialize(counted, "similar-common"), "n", COMMON).toArrow()
     tokens, n = (np.asarray(top.column(i).to_numpy(), np.int64) for i in range(2))
     tokens = tokens.view(np.uint64)
     order = np.argsort(tokens)
-    return tokens[order], n[order]
+    return tokens[order], n[order] * every
 
 
-def prefix(tokens: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
-    """The first shingles of a set, in the order of (count in the sample, hash).
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (part, token, id, size, pos) sorted by token and id: those whose token another id has too.
 
-    Two sets that reach the similarity share at least that part of the larger one, so one of these is in both prefixes.
+    One row is held back at a time. Tokens that are dealt over several tasks (part differs) are shared anyway.
     """
-    names, n = common
-    weight = np.zeros(len(tokens), np.int64)
-    if len(names) and len(tokens):
-        at = np.minimum(np.searchsorted(names, tokens), len(names) - 1)
-        weight = np.where(names[at] == tokens, n[at], 0)
-    return tokens[np.lexsort((tokens, weight))][: len(tokens) - math.ceil(similarity * len(tokens) - 1e-9) + 1]
+    names = ["token", "id", "size", "pos"]
+    last: list[np.ndarray] | None = None
+    joined = False
+    for batch in batches:
+        cols = [np.asarray(c.to_numpy(zero_copy_only=False)) for c in batch.columns]
+        if last is not None:
+            cols = [np.concatenate((a, b)) for a, b in zip(last, cols, strict=True)]
+        if not len(cols[0]):
+            continue
+        new = np.concatenate(([True], (cols[1][1:] != cols[1][:-1]) | (cols[2][1:] != cols[2][:-1])))
+        part, token, *rest = (c[new] for c in cols)
+        as_before = np.concatenate(([joined], token[1:] == token[:-1]))
+        keep = as_before | (part != token)
+        keep[:-1] |= as_before[1:]
+        last, joined = [c[-1:] for c in (part, token, *rest)], bool(as_before[-1])
+        out = [c[:-1][keep[:-1]] for c in (token, *rest)]
+        if len(out[0]):
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], names)
+    if last is not None and (joined or last[0][0] != last[1][0]):
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in last[1:]], names)
 
 
 def _meetings(given: DataFrame, common: tuple[np.ndarray, np.ndarray], words: int, similarity: float) -> DataFrame:
-    """(token, id, size, pos): the prefix of each set, as far as another row has the shingle in its prefix too.
-
-    Sets are made twice here, and again where they are compared: that takes less disk than keeping them.
-    """
+    """(token, id, size, pos): the prefix of each set, as far as another text has the shingle in its prefix too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            bodies = [x.as_buffer().to_pybytes() for x in batch.column(0)]
-            names = [text_name(b) for b in bodies]
-            ids = pa.array(names, pa.binary())
             out: list[tuple] = []
-            rows, seen = 0, set()
-            for i, body in enumerate(bodies):
-                tokens = shingle_set(body, words) if names[i] not in seen else ()
-                seen.add(names[i])
-                if len(tokens):
-                    first = prefix(tokens, common, similarity)
-                    out.append((first.view(np.int64), np.full(len(first), i), np.full(len(first), len(tokens), np.int32), np.arange(len(first), dtype=np.int32)))
+            rows = 0
+            for i, value in enumerate(batch.column(0)):
+                tokens = value.as_buffer().to_pybytes().lower().split()
+                own = _name(tokens)
+                if own not in seen and tokens:
+                    if len(seen) >= CACHE:
+                        seen.clear()
+                    seen.add(own)
+                    members = _shingles(tokens, words)
+                    first, weight = prefix(members, common, similarity)
+                    first = first.view(np.int64)
+                    part = np.where(weight >= HOT, first + 1 + own % SALTS, first)
+                    out.append((part, first, np.full(len(first), own), np.full(len(first), len(members), np.int32), np.arange(len(first), dtype=np.int32)))
                     rows += len(first)
-                if out and (rows > 1 << 16 or i + 1 == len(bodies)):
-                    token, at, size, pos = (np.concatenate(c) for c in zip(*out, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(token), ids.take(pa.array(at)), pa.array(size), pa.array(pos)], ["token", "id", "size", "pos"])
+                if out and (rows > 1 << 16 or i + 1 == len(batch)):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["part", "token", "id", "size", "pos"])
                     out, rows = [], 0
 
-    entries = given.select("b").mapInArrow(run, "token long, id binary, size int, pos int")
-    shared = entries.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1").select("token")
-    return materialize(entries.join(shared, "token").dropDuplicates(["token", "id"]), "similar-met")
+    entries = given.select("b").mapInArrow(run, "part long, token long, id long, size int, pos int")
+    dealt = entries.repartition(partitions(given), "part").sortWithinPartitions("token", "id")
+    return materialize(dealt.mapInArrow(_shared, "token long, id long, size int, pos int"), "similar-met")
 
 
-def _tied(sets_of: Callable[[DataFrame], DataFrame], met: DataFrame, count: int, similarity: float) -> DataFrame:
-    """(node, root) over all links between sets that reach the similarity.
+def _verified(pairs: DataFrame, classes: DataFrame, texts_of, words: int, similarity: float) -> DataFrame:
+    """(a, b) of the pairs whose sets reach the similarity: first by fingerprints, then by the texts themselves."""
 
-    In each round every shingle compares one leader with the other sets that it meets, and is done with that leader;
-    sets that are in one component already need no comparison. Rounds go on while each at least halves the pairs that
-    are left; then all of those are compared at once. ``sets_of`` gives (id, held) for a table of ids. No pair is skipped but by bounds on its similarity or because
-    its sets are linked already.
-    """
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(len(batch), -1) for i in (2, 3))
+            apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            sizes = batch.column(4).to_numpy().astype(np.int64)
+            yield batch.select([0, 1]).filter(pa.array(apart <= sizes * (1 - similarity) / (1 + similarity) + 1e-6))
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def equal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, x = None, None
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            for a, left, right in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                if a != name:
+                    name, x = a, shingle_set(left.as_buffer().to_pybytes(), words)
+                y = shingle_set(right.as_buffer().to_pybytes(), words)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(both >= similarity * (len(x) + len(y) - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
+    bits = classes.select("id", "size", "sketch")
+    x, y = (bits.select(F.col("id").alias(n), F.col("size").alias(f"size_{n}"), F.col("sketch").alias(f"sketch_{n}")) for n in "ab")
+    checked = pairs.join(x, "a").join(y, "b").select("a", "b", "sketch_a", "sketch_b", (F.col("size_a") + F.col("size_b")).alias("sizes"))
+    close = materialize(checked.mapInArrow(near, "a long, b long"), "similar-close")
+    texts = texts_of(close.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    x, y = (texts.select(F.col("id").alias(n), F.col("b").alias(f"text_{n}")) for n in "ab")
+    whole = close.join(y, "b").join(x, "a").select("a", "b", "text_a", "text_b")
+    return whole.mapInArrow(equal, "a long, b long")
+
+
+def _tied(met: DataFrame, classes: DataFrame, texts_of, count: int, words: int, similarity: float) -> DataFrame | None:
+    """(node, root) over all links between sets that reach the similarity; None if nothing meets.
+
+    In each round every shingle compares one leader with the other sets that it meets, and is done with that leader;
+    sets that are in one component already need no comparison. Rounds go on while each at least halves the pairs that
+    are left; then all of those are compared at once. No pair is skipped but by bounds on its similarity or because its
+    sets are linked already.
+    """
+
     def links_of(left: DataFrame, right: DataFrame, differ: Column) -> DataFrame:
         """Verified links (a, b) among rows of ``left`` (id, root, size, pos) and ``right`` that meet at a shingle."""
         other = right.select("token", *[F.col(c).alias(f"{c}_b") for c in ("id", "root", "size", "pos")])
-        most = F.least("pos", "pos_b") + 1 + F.least(F.col("size") - F.col("pos"), F.col("size_b") - F.col("pos_b")) - 1
+        # similar sets meet, among other places, at the first shingle that they share: nothing before it is in both
+        most = F.least(F.col("size") - F.col("pos"), F.col("size_b") - F.col("pos_b"))
         possible = most >= (F.col("size") + F.col("size_b")) * (similarity / (1 + similarity)) - 1e-6
         lengths = F.least("size", "size_b") >= F.greatest("size", "size_b") * similarity - 1e-6
         pairs = left.join(other, "token").filter(differ & lengths & possible)
-        pairs = materialize(pairs.select(F.least("id", "id_b").alias("a"), F.greatest("id", "id_b").alias("b")).distinct(), "similar-pairs")
-        wanted = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-        x, y = (wanted.select(F.col("id").alias(n), F.col("held").alias(f"held_{n}")) for n in "ab")
-        return pairs.join(x, "a").join(y, "b").select("a", "b", "held_a", "held_b").mapInArrow(verify, "a binary, b binary")
+        pairs = pairs.select(F.least("id", "id_b").alias("a"), F.greatest("id", "id_b").alias("b")).distinct()
+        return _verified(pairs, classes, texts_of, words, similarity)
 
     tied, before = None, None
     while True:
-        rows = met.withColumn("root", F.col("id")) if tied is None else met.join(tied.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-        rows = materialize(rows.select("token", "id", "size", "pos", "root"), "similar-rows")
-        groups = rows.groupBy("token", "root").agg(F.count("*").alias("c"), F.min("id").alias("id"))
-        # the leader is of the smallest component at the shingle, where it meets most that it is not linked with
-        tokens = groups.groupBy("token").agg(F.count("*").alias("roots"), F.sum("c").alias("n"), F.sum(F.col("c").cast("double") * F.col("c")).alias("squares"), F.min(F.struct("c", "id")).alias("h")).filter("roots > 1")
+        if tied is None:
+            rows = met.withColumn("root", F.col("id"))
+            groups = rows.select("token", "root", F.lit(1).cast("long").alias("c"), F.struct("pos", "id").alias("h"))
+        else:
+            rows = met.join(tied.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+            rows = materialize(rows.select("token", "id", "size", "pos", "root"), "similar-rows")
+            groups = rows.groupBy("token", "root").agg(F.count("*").alias("c"), F.min(F.struct("pos", "id")).alias("h"))
+        # the leader is of the smallest component at the shingle, where it meets most that it is not linked with; the
+        # earlier the shingle comes in its set, the fewer of the others do the bounds exclude
+        tokens = groups.groupBy("token").agg(F.count("*").alias("roots"), F.sum("c").alias("n"), F.sum(F.col("c").cast("double") * F.col("c")).alias("squares"), F.min(F.struct("c", "h.pos", "h.id")).alias("h")).filter("roots > 1")
         tokens = materialize(tokens.select("token", F.col("h.id").alias("leader"), ((F.col("n").cast("double") * F.col("n") - F.col("squares")) / 2).alias("pairs")), "similar-tokens")
         left = tokens.agg(F.sum("pairs")).first()[0]
         if not left:
-            break
+            return tied
         open_ = rows.join(tokens.select("token", "leader"), "token")
-        last = before is not None and (left <= CROWD * count or left > before / 2)
+        last = left <= CROWD * count or (before is not None and left > before / 2)
         if last:
             found = links_of(open_.drop("leader"), open_.drop("leader"), F.col("root") < F.col("root_b"))
         else:
+            open_ = materialize(open_, "similar-open")
             leaders = open_.filter("id = leader").drop("leader")
-            met = materialize(open_.filter("id <> leader").select("token", "id", "size", "pos"), "similar-met")
+            met = open_.filter("id <> leader").select("token", "id", "size", "pos")
             found = links_of(leaders, open_.drop("leader"), F.col("root") != F.col("root_b"))
         tied = components(found if tied is None else found.unionByName(tied.select(F.col("root").alias("a"), F.col("node").alias("b")).filter("a <> b")))
         if last:
-            break
+            return tied
         before = left
-    return tied if tied is not None else rows.select(F.col("id").alias("node"), "root").limit(0)
 
 
 def similar_texts(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row for each row of ``docs``: key, component (smallest key reachable over links, itself included).
 
     Two texts are linked if they have the same words in the same order, or if the Jaccard similarity of their sets of
-    ``words``-word shingles (as XXH64 values) is ``similarity`` or more; components are those of all such links. Texts
-    null, empty or without a word are copies of one another. Repeated rows stay repeated; other columns are not read.
+    ``words``-word shingles is ``similarity`` or more; components are those of all such links. Words and shingles, and
+    texts with the same words, are told apart by 64-bit hashes. Texts null, empty or without a word are copies of one
+    another. Repeated rows stay repeated; rows may share a key, or have none: a component of rows with null keys alone
+    has the component null. Other columns are not read.
     """
     kind = docs.schema[key].dataType.simpleString()
     given = docs.select(F.col(key).alias("key"), text_bytes(text).alias("b"))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([text_name(x.as_buffer().to_pybytes()) for x in batch.column(1)], pa.binary())], ["key", "id"])
+            ids, sizes, bits = [], [], []
+            for x in batch.column(1):
+                tokens = x.as_buffer().to_pybytes().lower().split()
+                members = _shingles(tokens, words)
+                ids.append(_name(tokens))
+                sizes.append(len(members))
+                bits.append(sketch(members))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(bits, pa.binary())], ["key", "id", "size", "sketch"])
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:  # rows may share a key, not a text
         for batch in batches:
-            yield batch.filter(pa.array([text_name(b.as_buffer().to_pybytes()) == i.as_py() for i, b in zip(batch.column(0), batch.column(1), strict=True)], pa.bool_()))
+            yield batch.filter(pa.array([text_name(b.as_buffer().to_pybytes()) == i for i, b in zip(batch.column(0).to_pylist(), batch.column(1), strict=True)], pa.bool_()))
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(x.as_buffer().to_pybytes(), words).tobytes() for x in batch.column(1)], pa.binary())], ["id", "held"])
-
-    marks = materialize(given.mapInArrow(mark, f"key {kind}, id binary"), "similar-marks")
-    classes = materialize(marks.groupBy("id").agg(F.min("key").alias("least")), "similar-classes")
+    marks = materialize(given.mapInArrow(mark, f"key {kind}, id long, size int, sketch binary"), "similar-marks")
+    classes = materialize(marks.groupBy("id").agg(F.min("key").alias("least"), F.first("size").alias("size"), F.first("sketch").alias("sketch")), "similar-classes")
     count = classes.count()
 
-    def sets_of(ids: DataFrame) -> DataFrame:
-        asked = classes.join(ids, "id", "left_semi")
-        texts = given.join(asked, F.col("key").eqNullSafe(F.col("least"))).select("id", "b").mapInArrow(own, "id binary, b binary").dropDuplicates(["id"])
-        return materialize(texts.mapInArrow(sets, "id binary, held binary"), "similar-sets")
-
-    tied = _tied(sets_of, _meetings(given, _common(given, count, words), words, similarity), count, similarity)
-    rooted = classes.join(tied.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    return marks.join(rooted.join(smallest, "root").select("id", "component"), "id").select(F.col("key").alias(key), "component")
+    def texts_of(ids: DataFrame) -> DataFrame:
+        asked = broadcast_up_to(materialize(classes.select("id", "least").join(ids, "id", "left_semi"), "similar-asked"))
+        texts = given.join(asked, F.col("key").eqNullSafe(F.col("least"))).select("id", "b").mapInArrow(own, "id long, b binary").dropDuplicates(["id"])
+        return materialize(texts, "similar-texts")
+
+    met = _meetings(given, _common(given, count, words), words, similarity)
+    tied = _tied(met, classes, texts_of, count, words, similarity)
+    if tied is None:
+        tied = classes.select(F.col("id").alias("node"), F.col("id").alias("root")).limit(0)
+    named = classes.select("id", "least").join(tied.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    smallest = named.groupBy("root").agg(F.min("least").alias("component"))
+    return marks.select("key", "id").join(named.join(smallest, "root").select("id", "component"), "id").select(F.col("key").alias(key), "component")
 
 
 def op2_simhash(spark, sf_dir: str) -> DataFrame:

@@ -229,7 +229,7 @@ def brute_spans(texts, length):
     return [(len(r), int(c.sum()), int((np.diff(c) == 1).sum()), hashlib.sha256(bytes(b for b, x in zip(r, c[1:-1]) if not x)).hexdigest()) for r, c in zip(raws, covered)]  # noqa: B905
 
 
-@pytest.mark.parametrize("crowd", [2048, 1])
+@pytest.mark.parametrize("crowd", [2048, 6, 1])
 def test_repeated_strings(spark, docs, empty, monkeypatch, crowd):
     monkeypatch.setattr(suffixdedup, "CROWD", crowd)
     rng = np.random.default_rng(2)
@@ -320,19 +320,12 @@ def test_similar_texts(spark, docs, empty):
     assert simhash.similar_texts(empty).isEmpty()
 
 
-def test_wide_fingerprint():
-    text = "a b a b a b c"
-    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in ("a b", "b a", "a b", "b a", "a b", "b c")]
-    wide = np.unpackbits(np.frombuffer(simhash.wide_fingerprint(text.encode()), np.uint8), bitorder="little")
-    ones, mask = np.zeros(simhash.WIDE), 2**64 - 1
-    for h in hashes:
-        for step in range(simhash.WIDE // 64):
-            x = (h + (step + 1) * 0x9E3779B97F4A7C15) & mask
-            x = ((x ^ x >> 30) * 0xBF58476D1CE4E5B9) & mask
-            x = ((x ^ x >> 27) * 0x94D049BB133111EB) & mask
-            x ^= x >> 31
-            ones[64 * step : 64 * step + 64] += [x >> b & 1 for b in range(64)]
-    assert (wide == (ones * 2 > len(hashes))).all() and len(simhash.wide_fingerprint(b" ")) == simhash.WIDE // 8
+def test_sketch_never_exceeds_the_difference():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        x, y = (np.unique(rng.integers(0, 3000, rng.integers(0, 900))).astype(np.uint64) << np.uint64(17) for _ in range(2))
+        bits = (int.from_bytes(simhash.sketch(x), "big") ^ int.from_bytes(simhash.sketch(y), "big")).bit_count()
+        assert bits <= len(np.setxor1d(x, y))
 
 
 def similar_as_brute_force(spark, rows):
