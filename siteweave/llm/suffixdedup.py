@@ -13,7 +13,11 @@ suffixes. Instead:
    sorted order that agree in ``length`` bytes are repeats.
 
 A bucket with very many distinct stretches is parted: its strings are dealt by the hash of the bytes that strings of
-nearly equal offset share, which equal strings have in common too.
+nearly equal offset share, which equal strings have in common too. Equal parts are one row again. Where very many
+different parts still share those bytes (the edge of a very common passage), each of their strings is a group of its own.
+
+Stretches, parts and strings that are counted as equal are told apart by 64-bit XXH3 hashes within one 64-bit anchor
+hash (strings by 128 bits); all others are compared byte by byte after sorting.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siteweave.llm.common import materialize, partitions, text_bytes
+from siteweave.llm.common import discard, materialize, numbered, partitions, text_bytes
 
 LENGTH = 200
 #: Bytes of an anchor's substring.
@@ -186,8 +190,8 @@ def _runs(flags: np.ndarray) -> tuple[list[int], list[int]]:
     return edge[::2].tolist(), (edge[1::2] - 1).tolist()
 
 
-def _parts(content: bytes, anchor: int, length: int, step: int = STEP) -> Iterator[tuple[int, bytes, int, int]]:
-    """Parts of a crowded bucket's stretch: (salt, bytes, anchor in them, first string), by offset from the anchor.
+def _parts(content: bytes, anchor: int, length: int, step: int = STEP) -> Iterator[tuple[int, int, bytes, int, int]]:
+    """Parts of a crowded bucket's stretch: (salt, name, bytes, anchor in them, first string), by offset from the anchor.
 
     Strings of a part share most bytes; the salt is those bytes' hash with the part's number, which equal strings share.
     """
@@ -198,7 +202,9 @@ def _parts(content: bytes, anchor: int, length: int, step: int = STEP) -> Iterat
         last = min(strings - 1, anchor - number * step)
         # the part's full range of offsets decides which bytes its strings have in common, not the range held here
         a, b = anchor - number * step, anchor - (number + 1) * step + 1 + length
-        yield xxhash.xxh3_64_intdigest(content[a:b], number) >> 1, content[first : last + length], anchor - first, first
+        salt = xxhash.xxh3_64_intdigest(content[a:b], number) >> 1
+        piece, at = content[first : last + length], anchor - first
+        yield salt, xxhash.xxh3_64_intdigest(piece, salt ^ at) >> 1, piece, at, first
         first = last + 1
 
 
@@ -224,9 +230,9 @@ def _anchor_rows(texts: DataFrame, length: int) -> DataFrame:
 
 
 def _sorted_blocks(rows: DataFrame, length: int) -> DataFrame:
-    """(h, r, first, last): repeated strings of each stretch, as ranges counted from its start.
+    """(h, r, first, last): repeated strings of each row, as ranges counted from its start.
 
-    ``rows``: (h, salt, r, content, a, first), where ``first`` is the stretch's first string that ``content`` holds.
+    ``rows``: (h, salt, r, content, a), each (h, r) once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,8 +249,8 @@ def _sorted_blocks(rows: DataFrame, length: int) -> DataFrame:
                 a, b = _runs(own)
                 h += [x[0]] * len(a)
                 r += [x[2]] * len(a)
-                first += [x[5] + v for v in a]
-                last += [x[5] + v for v in b]
+                first += a
+                last += b
             held, size = [], 0
             return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(r, pa.int64()), pa.array(first, pa.int32()), pa.array(last, pa.int32())], ["h", "r", "first", "last"])
 
@@ -257,33 +263,62 @@ def _sorted_blocks(rows: DataFrame, length: int) -> DataFrame:
         if held:
             yield sort()
 
-    dealt = rows.select("h", "salt", "r", "content", "a", "first").repartition(partitions(rows), "h", "salt").sortWithinPartitions("h", "salt")
+    dealt = rows.select("h", "salt", "r", "content", "a").repartition(partitions(rows), "h", "salt").sortWithinPartitions("h", "salt")
     return dealt.mapInArrow(run, "h long, r long, first int, last int")
 
 
+def _crowded_ranges(parts: DataFrame, length: int) -> DataFrame:
+    """(h, r, first, last) of the crowded buckets' stretches. ``parts``: (h, salt, part, content, a, r, first), stored."""
+    names = parts.groupBy("h", "salt", "part").agg(F.count("*").alias("n"), F.min("r").alias("r"))
+    groups = materialize(names.groupBy("h", "salt").agg((F.count("*") > CROWD).alias("large")).filter("large"), "dedup-large")
+    names = materialize(names, "dedup-parts")
+    # each kind of part is sorted once; its strings are repeats if any two stretches hold it
+    kinds = parts.join(names.select("h", "part", "r", "n"), ["h", "part", "r"]).join(groups, ["h", "salt"], "left")
+    kinds = materialize(kinds.select("h", "salt", F.col("part").alias("r"), "content", "a", "n", F.coalesce("large", F.lit(False)).alias("large")), "dedup-kinds")
+
+    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for h, r, value, anchor in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                for i in range(len(value) - length + 1):
+                    out.append((h, r, i, xxhash.xxh3_128_digest(value[i : i + length], anchor - i + length)))
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True) if out else [[]] * 4, (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["h", "r", "i", "x"])
+
+    single = kinds.filter("large AND n = 1").select("h", "r", "content", "a").mapInArrow(strings, "h long, r long, i int, x binary")
+    of_others = kinds.filter("large AND n > 1").select("h", "r", "content", "a").mapInArrow(strings, "h long, r long, i int, x binary")
+    single, of_others = materialize(single, "dedup-strings"), of_others.select("h", "x")
+    twice = single.select("h", "x").unionByName(of_others).groupBy("h", "x").count().filter("count > 1")
+    found = _sorted_blocks(kinds.filter("NOT large"), length).unionByName(single.join(materialize(twice.select("h", "x"), "dedup-twice"), ["h", "x"]).select("h", "r", F.col("i").alias("first"), F.col("i").alias("last")))
+    whole = kinds.filter("n > 1").select("h", "r", F.lit(0).alias("first"), (F.octet_length("content") - length).alias("last"))
+    ranges = materialize(found.unionByName(whole).withColumnRenamed("r", "part").withColumnRenamed("first", "from"), "dedup-part-ranges")
+    back = parts.select("h", "part", "r", "first").join(ranges, ["h", "part"])
+    return back.select("h", "r", (F.col("first") + F.col("from")).alias("first"), (F.col("first") + F.col("last")).alias("last"))
+
+
 def deduplicate(docs: DataFrame, *, text: str = "text", length: int = LENGTH, with_text: bool = False) -> DataFrame:
     """All columns of ``docs`` but the text, with n_bytes, n_removed, n_spans, kept_sha256, and the kept text if asked for.
 
     A null text counts as empty; texts of fewer than ``length`` bytes lose nothing, nor does a table of one short text.
     Rows that repeat a text lose all of it if it has ``length`` bytes. Columns of ``docs`` with the names of results are
-    replaced. The kept text drops characters of which bytes were cut away.
+    replaced; others may have any name. The kept text drops characters of which bytes were cut away.
     """
     results = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
-    rows = docs.select(*[c for c in docs.columns if c != text and c not in results], text_bytes(text).alias("raw"), F.monotonically_increasing_id().alias("rid"))
-    rows = materialize(rows, "dedup-texts")
+    into, back = numbered([c for c in docs.columns if c != text and c not in results])
+    rows = materialize(docs.select(*into, text_bytes(text).alias("raw"), F.monotonically_increasing_id().alias("rid")), "dedup-texts")
     long = rows.filter(F.octet_length("raw") >= length)
     marked = materialize(_anchor_rows(long, length), "dedup-anchors")
-    # Anchors that occur once are done with; the count is summed before rows meet.
-    often = marked.groupBy("h").agg(F.count("*").alias("n"), F.min("r").alias("r1"), F.max("r").alias("r2")).filter("n > 1")
-    live = materialize(marked.join(often.select("h", (F.col("r1") != F.col("r2")).alias("mixed")), "h"), "dedup-live")
-    stretches = materialize(live.groupBy("h", "r", "mixed").agg(F.count("*").alias("copies"), F.min(F.struct("rid", "a", "lo", "hi")).alias("at")), "dedup-stretches")
-    mixed = stretches.filter("mixed")
-    crowded = mixed.groupBy("h").agg((F.count("*") > CROWD).alias("crowded"))
-    asked = mixed.join(crowded, "h").select("h", "r", "crowded", "at.*").groupBy("rid").agg(F.collect_list(F.struct("h", "r", "crowded", "a", "lo", "hi")).alias("asked"))
+    # Anchors that occur once are done with. What joins is read from storage on both sides, so that a very common anchor is
+    # dealt over several tasks.
+    often = materialize(marked.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "dedup-often")
+    live = materialize(marked.join(often, "h"), "dedup-live")
+    discard(marked, often)
+    stretches = materialize(live.groupBy("h", "r").agg(F.count("*").alias("copies"), F.min(F.struct("rid", "a", "lo", "hi")).alias("at")), "dedup-stretches")
+    kinds = materialize(stretches.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h", (F.col("n") > CROWD).alias("crowded")), "dedup-mixed")
+    asked = stretches.join(kinds, "h").select("h", "r", "crowded", "at.*").groupBy("rid").agg(F.collect_list(F.struct("h", "r", "crowded", "a", "lo", "hi")).alias("asked"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["h", "salt", "r", "content", "a", "first"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32()]
+        names = ["h", "salt", "part", "content", "a", "r", "first"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int32()]
         for batch in batches:
             out: list[tuple] = []
             size = 0
@@ -291,9 +326,9 @@ def deduplicate(docs: DataFrame, *, text: str = "text", length: int = LENGTH, wi
                 raw = value.as_buffer().to_pybytes()
                 for w in wanted.as_py():
                     content, anchor = raw[w["lo"] : w["hi"] + length], w["a"] - w["lo"]
-                    made = _parts(content, anchor, length) if w["crowded"] else [(0, content, anchor, 0)]
-                    for salt, piece, at, first in made:
-                        out.append((w["h"], salt, w["r"], piece, at, first))
+                    made = _parts(content, anchor, length) if w["crowded"] else [(None, None, content, anchor, 0)]
+                    for salt, name, piece, at, first in made:
+                        out.append((w["h"], salt, name, piece, at, w["r"], first))
                         size += len(piece)
                 if size > 1 << 22:
                     yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
@@ -301,14 +336,20 @@ def deduplicate(docs: DataFrame, *, text: str = "text", length: int = LENGTH, wi
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
-    pieces = long.select("rid", "raw").join(asked, "rid").select("raw", "asked").mapInArrow(cut, "h long, salt long, r long, content binary, a int, first int")
-    # A part of a crowded bucket may be the same for many stretches; each kind of part is sorted once.
-    found = _sorted_blocks(pieces, length)
+    pieces = long.select("rid", "raw").join(asked, "rid").select("raw", "asked").mapInArrow(cut, "h long, salt long, part long, content binary, a int, r long, first int")
+    if kinds.filter("crowded").isEmpty():
+        found = _sorted_blocks(pieces.withColumn("salt", F.lit(0).cast("long")), length)
+    else:
+        pieces = materialize(pieces, "dedup-pieces")
+        found = _sorted_blocks(pieces.filter("part IS NULL").withColumn("salt", F.lit(0).cast("long")), length)
+        found = found.unionByName(_crowded_ranges(pieces.filter("part IS NOT NULL"), length))
     whole = stretches.filter("copies > 1").select("h", "r", F.lit(0).alias("first"), F.expr("at.hi - at.lo").alias("last"))
     ranges = materialize(found.unionByName(whole), "dedup-ranges")
+    discard(stretches, kinds)
     hits = live.select("h", "r", "rid", "lo").join(ranges, ["h", "r"]).select("rid", (F.col("lo") + F.col("first")).alias("first"), (F.col("lo") + F.col("last") + length).alias("last"))
     per_text = hits.groupBy("rid").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     kept = [c for c in rows.columns if c not in ("raw", "rid")]
+    made_text = "kept"
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -331,11 +372,12 @@ def deduplicate(docs: DataFrame, *, text: str = "text", length: int = LENGTH, wi
                 if with_text:
                     texts.append(out.decode("utf-8", "ignore"))
             made = [pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string())] + [pa.array(texts, pa.string())] * with_text
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *made], [*kept, *results, *[text] * with_text])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *made], [*kept, *results, *[made_text] * with_text])
 
     schema = T.StructType([rows.schema[c] for c in kept]).add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept_sha256", "string")
-    schema = schema.add(text, "string") if with_text else schema
-    return rows.join(per_text, "rid", "left").select(*kept, "raw", "spans").mapInArrow(drop, schema)
+    schema = schema.add(made_text, "string") if with_text else schema
+    out = rows.join(per_text, "rid", "left").select(*kept, "raw", "spans").mapInArrow(drop, schema)
+    return out.select(*back, *results, *[F.col(made_text).alias(text)] * with_text)
 
 
 def op9_suffixdedup(spark, sf_dir: str) -> DataFrame:
