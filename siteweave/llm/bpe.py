@@ -13,6 +13,7 @@ import hashlib
 import json
 import mmap
 import os
+import re
 import struct
 import tempfile
 import uuid
@@ -27,10 +28,12 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siteweave.llm.common import materialize, top_counts
+
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Most words that the automaton holds.
 LEXICON = 1 << 16
-#: Words of a worker's own cache; it starts anew when full.
+#: Entries of each generation of a worker's own caches.
 CACHE = 1 << 18
 
 
@@ -64,49 +67,53 @@ class Vocabulary:
             self.bytes_of[i] = token.encode()
         self.ids = ids
         self.first = [ids[bytes([b])] for b in range(256)]
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        #: Rank of each pair of ids that is merged, and what each rank makes of it.
+        self.ranks: dict[tuple[int, int], int] = {}
+        self.made: list[int] = []
         for rank, pair in enumerate(spec["model"]["merges"]):
             left, right = (as_bytes(x) for x in (pair.split(" ") if isinstance(pair, str) else pair))
-            self.merges[ids[left], ids[right]] = rank, ids[left + right]
+            self.ranks[ids[left], ids[right]] = rank
+            self.made.append(ids[left + right])
 
     def merge(self, word: bytes) -> list[int]:
         """Ids of one pre-token: the pair of lowest rank is merged, leftmost first, until no pair has a rank."""
         parts = [self.first[b] for b in word]
         if len(parts) > 256:
             return self._merge_long(parts)
-        get = self.merges.get
-        while len(parts) > 1:
-            best = None
-            for at, pair in enumerate(zip(parts, parts[1:])):  # noqa: B905
-                if (found := get(pair)) is not None and (best is None or found[0] < best[0]):
-                    best, where = found, at
-            if best is None:
-                break
-            parts[where : where + 2] = [best[1]]
+        get, never = self.ranks.get, len(self.made)
+        ranks = [get(pair, never) for pair in zip(parts, parts[1:])]  # noqa: B905
+        while ranks and (rank := min(ranks)) < never:
+            at = ranks.index(rank)
+            parts[at] = self.made[rank]
+            del parts[at + 1], ranks[at]
+            if at:
+                ranks[at - 1] = get((parts[at - 1], parts[at]), never)
+            if at < len(ranks):
+                ranks[at] = get((parts[at], parts[at + 1]), never)
         return parts
 
     def _merge_long(self, parts: list[int]) -> list[int]:
         """As merge(), with a heap over neighbours, for very long pre-tokens."""
         from heapq import heapify, heappop, heappush
 
-        n, get = len(parts), self.merges.get
+        n, get = len(parts), self.ranks.get
         after, before = [*range(1, n), -1], [-1, *range(n - 1)]
         live: list[int | None] = list(parts)
-        heap = [(found[0], i, parts[i], parts[i + 1]) for i in range(n - 1) if (found := get((parts[i], parts[i + 1])))]
+        heap = [(found, i, parts[i], parts[i + 1]) for i in range(n - 1) if (found := get((parts[i], parts[i + 1]))) is not None]
         heapify(heap)
         while heap:
-            _, i, a, b = heappop(heap)
+            rank, i, a, b = heappop(heap)
             j = after[i]
             if live[i] != a or j < 0 or live[j] != b:
                 continue
-            live[i], live[j] = get((a, b))[1], None
+            live[i], live[j] = self.made[rank], None
             after[i] = k = after[j]
             if k >= 0:
                 before[k] = i
-                if found := get((live[i], live[k])):
-                    heappush(heap, (found[0], i, live[i], live[k]))
-            if (h := before[i]) >= 0 and (found := get((live[h], live[i]))):
-                heappush(heap, (found[0], h, live[h], live[i]))
+                if (found := get((live[i], live[k]))) is not None:
+                    heappush(heap, (found, i, live[i], live[k]))
+            if (h := before[i]) >= 0 and (found := get((live[h], live[i]))) is not None:
+                heappush(heap, (found, h, live[h], live[i]))
         return [x for x in live if x is not None]
 
 
@@ -119,8 +126,9 @@ def build_lexicon(words: dict[bytes, list[int]]) -> bytes:
     """Compiles words and their ids into one blob.
 
     Words are added in byte order; once a state can get no more arcs it is replaced by an equal one if there is one,
-    which keeps the automaton minimal throughout. Layout: 5 counts; first arc of each state; target and skipped words
-    of each arc; end of each word's ids; the ids; whether a state ends a word; byte of each arc.
+    which keeps the automaton minimal throughout. Arcs are looked up by state and byte in an open table, so a step
+    costs the same in every state. Layout: 5 counts; key (plus one; 0 is free), target and skipped words of each slot of
+    the table; end of each word's ids; the ids; whether a state ends a word.
     """
     register: dict[tuple, int] = {}
     arcs_of: list[tuple] = []
@@ -148,28 +156,32 @@ def build_lexicon(words: dict[bytes, list[int]]) -> bytes:
     for depth in range(len(path) - 1, 0, -1):
         path[depth - 1][1].append((last[depth - 1], freeze(path.pop())))
     root = freeze(path[0])
-    first, ends, byte, target, skip = [], [], [], [], []
-    for final, *arcs in arcs_of:
-        first.append(len(byte))
-        ends.append(final)
+    ends = [final for final, *_ in arcs_of]
+    size = 1 << max(4, (2 * sum(len(a) - 1 for a in arcs_of)).bit_length())
+    keys, target, skip = [0] * size, [0] * size, [0] * size
+    for state, (final, *arcs) in enumerate(arcs_of):
         passed = int(final)
         for b, t in arcs:
-            byte.append(b)
-            target.append(t)
-            skip.append(passed)
+            at = _slot(state << 8 | b, size)
+            while keys[at]:
+                at = (at + 1) & (size - 1)
+            keys[at], target[at], skip[at] = (state << 8 | b) + 1, t, passed
             passed += count_of[t]
-    first.append(len(byte))
     stops = np.cumsum([len(words[w]) for w in ordered]) if ordered else np.zeros(0)
     ids = [i for w in ordered for i in words[w]]
-    arrays = [np.array(first, "<u4"), np.array(target, "<u4"), np.array(skip, "<u4"), stops.astype("<u4"), np.array(ids, "<u4"), np.array(ends, "u1"), np.array(byte, "u1")]
-    return struct.pack("<5I", root, len(ends), len(byte), len(ordered), len(ids)) + b"".join(a.tobytes() for a in arrays)
+    arrays = [np.array(keys, "<u4"), np.array(target, "<u4"), np.array(skip, "<u4"), stops.astype("<u4"), np.array(ids, "<u4"), np.array(ends, "u1")]
+    return struct.pack("<5I", root, len(ends), size, len(ordered), len(ids)) + b"".join(a.tobytes() for a in arrays)
+
+
+def _slot(key: int, size: int) -> int:
+    return key * 0x9E3779B1 >> 8 & size - 1
 
 
 class Lexicon:
     """A compiled lexicon over any buffer; lookups follow arcs and add up their outputs."""
 
     def __init__(self, buffer: bytes | mmap.mmap) -> None:
-        self.root, states, arcs, words, ids = struct.unpack_from("<5I", buffer)
+        self.root, states, slots, words, ids = struct.unpack_from("<5I", buffer)
         at = struct.calcsize("<5I")
 
         def take(kind: str, n: int) -> np.ndarray:
@@ -178,60 +190,106 @@ class Lexicon:
             at += out.nbytes
             return out
 
-        self.first, self.target, self.skip, self.stops, self.ids, self.final, self.byte = (
-            memoryview(take(*x)) for x in (("<u4", states + 1), ("<u4", arcs), ("<u4", arcs), ("<u4", words), ("<u4", ids), ("u1", states), ("u1", arcs))
+        self.keys, self.target, self.skip, self.stops, self.ids, self.final = (
+            memoryview(take(*x)) for x in (("<u4", slots), ("<u4", slots), ("<u4", slots), ("<u4", words), ("<u4", ids), ("u1", states))
         )
         self.buffer = buffer
 
     def find(self, word: bytes) -> bytes | None:
         """The word's ids as little-endian unsigned 32-bit integers."""
-        state, rank, first, byte = self.root, 0, self.first, self.byte
+        state, rank, keys = self.root, 0, self.keys
+        mask = len(keys) - 1
         for b in word:
-            low, high = first[state], first[state + 1]
-            while low < high:
-                middle = (low + high) >> 1
-                if byte[middle] < b:
-                    low = middle + 1
-                else:
-                    high = middle
-            if low == first[state + 1] or byte[low] != b:
-                return None
-            rank += self.skip[low]
-            state = self.target[low]
+            key = state << 8 | b
+            at = key * 0x9E3779B1 >> 8 & mask  # as _slot()
+            while (held := keys[at]) != key + 1:
+                if not held:
+                    return None
+                at = (at + 1) & mask
+            rank += self.skip[at]
+            state = self.target[at]
         if not self.final[state]:
             return None
         return self.ids[self.stops[rank - 1] if rank else 0 : self.stops[rank]].tobytes()
 
 
-class Coder(dict):
-    """Pre-token -> packed ids, for one worker: first its own cache, then the lexicon, then merges."""
+#: Where a single space that stands between white space is no place to cut a text: runs of white space stay whole.
+UNSAFE = re.compile(r"\s (?:\s|\Z)")
+#: A run of letters and one of signs, as two pre-tokens; anything else is split by the pattern. Letters of the Latin blocks.
+PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-/:-@\\[-`{-~]*)")
 
-    def __init__(self, words: Vocabulary, lexicon: Lexicon | None) -> None:
+
+class Cache(dict):
+    """Two generations of at most ``CACHE`` entries: what is still in use when the younger one is full, survives."""
+
+    def __init__(self, make) -> None:
         super().__init__()
+        self.make, self.old = make, {}
+
+    def __missing__(self, key: str) -> bytes:
+        found = self.old.get(key)
+        if found is None:
+            found = self.make(key)
+        if len(key) <= 64:
+            if len(self) >= CACHE:
+                self.old = dict(self)
+                self.clear()
+            self[key] = found
+        return found
+
+
+class Coder:
+    """Encodes and decodes for one worker.
+
+    Texts are cut at single spaces. What stands between them is looked up with the space ahead of it; if it is new it is
+    split into pre-tokens, which come from a cache of their own, the lexicon, or merges.
+    """
+
+    def __init__(self, words: Vocabulary, lexicon: Lexicon | None) -> None:
         self.words, self.lexicon = words, lexicon
+        self.pieces, self.tokens = Cache(self._piece), Cache(self._token)
         self.pattern = regex.compile(PATTERN)
         self.split = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(words.special, key=len, reverse=True)) + ")") if words.special else None
+        sizes = np.array([len(b) for b in words.bytes_of], np.int64)
+        self.sizes, self.starts = sizes, np.cumsum(sizes) - sizes
+        self.flat = np.frombuffer(b"".join(words.bytes_of), np.uint8)
 
-    def __missing__(self, piece: str) -> bytes:
+    def _token(self, piece: str) -> bytes:
         word = piece.encode()
         found = self.lexicon.find(word) if self.lexicon else None
-        if found is None:
-            found = np.array(self.words.merge(word), "<u4").tobytes()
-        if len(self) >= CACHE:
-            self.clear()
-        if len(word) <= 64:
-            self[piece] = found
-        return found
+        return np.array(self.words.merge(word), "<u4").tobytes() if found is None else found
+
+    def _piece(self, piece: str) -> bytes:
+        if plain := PLAIN.fullmatch(piece):
+            letters, signs = plain.groups()
+            found = self.tokens[" " + letters]
+            return found + self.tokens[signs] if signs else found
+        return self._ids(" " + piece)
+
+    def _ids(self, text: str) -> bytes:
+        return b"".join(map(self.tokens.__getitem__, self.pattern.findall(text)))
+
+    def _plain(self, text: str) -> bytes:
+        if UNSAFE.search(text):
+            return self._ids(text)
+        first, *rest = text.split(" ")
+        return self._ids(first) + b"".join(map(self.pieces.__getitem__, rest))
 
     def encode(self, text: str) -> bytes:
         """All ids of a text, packed. Strings of special tokens become their ids."""
         if self.split and any(s in text for s in self.words.special):
-            return b"".join(struct.pack("<I", self.words.special[part]) if part in self.words.special else b"".join(map(self.__getitem__, self.pattern.findall(part))) for part in self.split.split(text))
-        return b"".join(map(self.__getitem__, self.pattern.findall(text)))
+            return b"".join(struct.pack("<I", self.words.special[part]) if part in self.words.special else self._plain(part) for part in self.split.split(text))
+        return self._plain(text)
 
     def decode(self, packed: bytes) -> str:
-        table = self.words.bytes_of
-        return b"".join([table[i] for i in memoryview(packed).cast("I").tolist()]).decode("utf-8", "replace")
+        ids = np.frombuffer(packed, "<u4")
+        out = []
+        for at in range(0, len(ids), 1 << 20):  # a very long text stays in bounded memory
+            part = ids[at : at + (1 << 20)]
+            sizes = self.sizes[part]
+            ends = np.cumsum(sizes)
+            out.append(self.flat[np.repeat(self.starts[part] - ends + sizes, sizes) + np.arange(ends[-1])].tobytes())
+        return b"".join(out).decode("utf-8", "replace")
 
 
 _coders: dict[tuple[str, str], Coder] = {}
@@ -251,20 +309,39 @@ def coder(path: str, lexicon_name: str | None) -> Coder:
 
 
 def count_words(docs: DataFrame, *, text: str = "text") -> DataFrame:
-    """(word, n): every pre-token of all texts. Each worker adds up its own before Spark shuffles them."""
+    """(word, n): every pre-token of all texts. Each worker adds up its own before Spark shuffles them.
+
+    What stands between single spaces is counted first, and split by the pattern once for each kind of it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pattern, counts = regex.compile(PATTERN), Counter()
+        pattern, counts, spaced = regex.compile(PATTERN), Counter(), Counter()
 
         def flush() -> pa.RecordBatch:
+            for piece, n in spaced.items():
+                if plain := PLAIN.fullmatch(piece):
+                    letters, signs = plain.groups()
+                    counts[" " + letters] += n
+                    if signs:
+                        counts[signs] += n
+                else:
+                    for word in pattern.findall(" " + piece):
+                        counts[word] += n
             out = pa.RecordBatch.from_arrays([pa.array([w.encode() for w in counts], pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
             counts.clear()
+            spaced.clear()
             return out
 
         for batch in batches:
             for value in batch.column(0):
-                counts.update(pattern.findall(value.as_py() or ""))
-                if len(counts) > CACHE:
+                body = value.as_py() or ""
+                if UNSAFE.search(body):
+                    counts.update(pattern.findall(body))
+                else:
+                    first, *rest = body.split(" ")
+                    counts.update(pattern.findall(first))
+                    spaced.update(rest)
+                if len(counts) + len(spaced) > CACHE:
                     yield flush()
         yield flush()
 
@@ -274,12 +351,14 @@ def count_words(docs: DataFrame, *, text: str = "text") -> DataFrame:
 def fit_lexicon(docs: DataFrame, *, text: str = "text", size: int = LEXICON, path: str | None = None, longest: int = 64) -> str:
     """Counts all texts, compiles the ``size`` most frequent words of 2 to ``longest`` bytes and hands the file to Spark.
 
-    Returns the file's name for ``coder``. What reaches the driver is bounded by ``size`` x ``longest`` bytes.
+    Returns the file's name for ``coder``. The driver gets a histogram of counts, then those words: at most ``size`` x
+    ``longest`` bytes. Counts where the histogram is cut decide, so there may be somewhat fewer than ``size``.
     """
     spark = docs.sparkSession
     path = path or vocabulary_path()
     words = vocabulary(path)
-    top = count_words(docs, text=text).filter((F.octet_length("word") > 1) & (F.octet_length("word") <= longest)).orderBy(F.desc("n"), "word").limit(size).collect()
+    counted = count_words(docs, text=text).filter((F.octet_length("word") > 1) & (F.octet_length("word") <= longest))
+    top = top_counts(materialize(counted, "bpe-words"), "n", size).select("word").collect()
     blob = build_lexicon({bytes(r.word): words.merge(bytes(r.word)) for r in top})
     name = f"lexicon-{uuid.uuid4().hex}.bin"
     with tempfile.TemporaryDirectory() as folder:  # only to hand it over: addFile copies it and serves every executor
