@@ -144,6 +144,67 @@ def test_sharding(spark, docs, empty):
     assert sharding.assign_shards(empty, 10).isEmpty()
 
 
+def probability(model, before, word):
+    """Of a word (None: the end) after another (None: at the beginning), from the model's packed tables."""
+    word = hpylm.END if word is None else word
+    ctx = hpylm.ENDINGS + model.frequent.index(before) if before in model.frequent else hpylm.ending(before or hpylm.END)
+    row = model.seatings.filter(F.col("key") == int(hpylm._numbers([word]).view(np.int64)[0])).first()
+    if row is None:
+        return float(model.value(np.array([ctx]), np.zeros(1), np.zeros((1, hpylm.SAMPLES)), model.unknown[None])[0])
+    inner, middle = np.frombuffer(row.inner, hpylm.INNER), np.frombuffer(row.middle, hpylm.MIDDLE)
+    if (inner["ctx"] == ctx).any():
+        return float(inner["value"][inner["ctx"] == ctx][0])
+    above = middle["above"][middle["end"] == hpylm.ending(before or hpylm.END)]
+    own = above if len(above) else np.zeros((1, hpylm.SAMPLES))
+    return float(model.value(np.array([ctx]), np.zeros(1), own, np.frombuffer(row.p, "<f4")[None])[0])
+
+
+def test_tables_are_drawn_as_by_seating_one_by_one():
+    d, w = 0.6, 1.7
+    # all ways to seat c customers, each weighed by its new tables and by sizes less the discount
+    exact = {1: {1: 1.0}}
+    for c in range(1, 8):
+        exact[c + 1] = {}
+        for t, p in exact[c].items():
+            exact[c + 1][t] = exact[c + 1].get(t, 0) + p * (c - d * t)
+            exact[c + 1][t + 1] = exact[c + 1].get(t + 1, 0) + p * w
+    keys = np.random.default_rng(1).integers(0, 2**63, 40000).astype(np.uint64)
+    for c in (2, 3, 8):
+        drawn = np.bincount(hpylm.draw_tables(np.full(len(keys), c), np.full(len(keys), w), d, keys, 3), minlength=c + 1)[1:] / len(keys)
+        want = np.array([exact[c][t] for t in range(1, c + 1)])
+        assert drawn == pytest.approx(want / want.sum(), abs=0.012)
+    number = np.arange(1, hpylm.EXACT + 1)
+    for w in (0.02, 1.7, 30.0, 2000.0):  # beyond that number of customers, the limit is close to the last exact law
+        logs = hpylm.stirling(d)[hpylm.EXACT, 1:] + np.log(w) * number
+        p = np.exp(logs - logs.max())
+        p /= p.sum()
+        large = hpylm.draw_tables(np.full(len(keys), hpylm.EXACT + 1), np.full(len(keys), w), d, keys, 3)
+        mean = (p * number).sum()
+        assert large.mean() == pytest.approx(mean, rel=0.06) and large.std() == pytest.approx(np.sqrt((p * (number - mean) ** 2).sum()), rel=0.2)
+
+
+def test_language_model_beats_a_bigram(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").toPandas()
+    held = np.array([zlib.crc32(str(i).encode()) % 7 == 2 for i in table.doc_id])
+    texts = [hpylm.tokens((t or "").encode()) for t in table.text]
+    one, two, before = Counter(), Counter(), Counter()
+    for words, out in zip(texts, held, strict=True):
+        if not out:
+            one.update(words)
+            two.update(zip([hpylm.END, *words], words, strict=False))
+            before.update([hpylm.END, *words[:-1]])
+    n, v, count = sum(one.values()), len(one), 0
+    shares = np.array([0.2, 0.3, 0.4, 0.5])  # of the bigram, in the interpolation
+    total = np.zeros(4)
+    for words, out in zip(texts, held, strict=True):
+        if out:
+            for a, b in zip([hpylm.END, *words], words, strict=False):
+                total += np.log10(shares * (two[a, b] / before[a] if before[a] else 0) + (1 - shares) * (one[b] + 1) / (n + v + 1))
+                count += 1
+    got = hpylm.op4_hpylm(spark, "/root/testdata/sf0.01").filter("held_out").toPandas()
+    assert got.n_tokens.sum() == count and got.score.sum() > total.max()
+
+
 def test_language_model(spark, docs, empty):
     train = [r for r in oddities() if zlib.crc32(str(r[0]).encode()) % 7 != 2]
     model = hpylm.fit(spark.createDataFrame(train, docs.schema))
@@ -159,16 +220,12 @@ def test_language_model(spark, docs, empty):
         assert r.base_score == pytest.approx(sum(np.log10((counts[w] + 1) / (n + v + 1)) for w in words))
         assert r.score < 0
     # after any word, known words and one unknown word have probabilities that sum to one
-    vocabulary = [w for w in counts if w != hpylm.END]
-    first = spark.createDataFrame([(i, w.decode()) for i, w in enumerate([*vocabulary, b"never-seen"])], "doc_id long, text string")
-    pairs = {r.doc_id: r.score for r in hpylm.score(first, model).collect()}
-    two = spark.createDataFrame([(i, w.decode() + " x") for i, w in enumerate([*vocabulary, b"never-seen"])], "doc_id long, text string")
-    assert hpylm.score(two, model).count() == len(pairs)
-    compact = hpylm._compact(model).collect()
-    ctx = hpylm.context(b"the")
-    direct = sum(d for r in compact for c, d in zip(r.ctx, r.direct, strict=True) if c == ctx)
-    parent = sum(np.array(r.p) for r in compact) + model.parent(np.zeros((hpylm.SAMPLES, 1)), np.zeros((hpylm.SAMPLES, 1)))[:, 0]
-    assert parent == pytest.approx(np.ones(hpylm.SAMPLES)) and direct + (model.share[:, ctx] * parent).mean() == pytest.approx(1)
+    for before in (None, b"the", b"never-seen"):
+        assert sum(probability(model, before, w) for w in [*counts, b"unknown"]) == pytest.approx(1, abs=1e-5)
+    words = [b"the", b"lazy", b"never-seen", b"dog"]
+    asked = spark.createDataFrame([(b" ".join(words).decode(), 7)], "text string, rid int")
+    want = sum(np.log10(probability(model, a, b)) for a, b in zip([None, *words], [*words, None], strict=True))
+    assert hpylm.score(asked, model).first().score == pytest.approx(want, rel=1e-5)
     assert hpylm.score(empty, hpylm.fit(empty)).isEmpty()
 
 
