@@ -70,7 +70,8 @@ def crawl(spark: SparkSession, base_url: str, sitemap: DataFrame, fetch: Callabl
 
     ``sitemap`` has a column url. ``fetch`` maps (url) to (url, html, status_code, error): the snapshot or the network.
     Links are resolved against their page, then classed against the site. Pages that can't be fetched are error nodes
-    without results. Links that are no URL go to ``quarantine``; with ``strict`` they stop the crawl.
+    without results. Links that are no URL go to ``quarantine``; with ``strict`` they stop the crawl. Without a round, or
+    from a base that is no URL and no sitemap, no page is fetched and the results are empty.
     """
     registry = registry or Registry.default()
     base = F.lit(base_url)
@@ -99,6 +100,8 @@ def crawl(spark: SparkSession, base_url: str, sitemap: DataFrame, fetch: Callabl
         more = keyed(out.drop("text"))
         edges = cut_lineage(edges.unionByName(more))
         max_rounds = None if max_rounds is None else max_rounds - 1
+    if parsed is None:
+        parsed = parse_pages(fetch(edges.filter("url IS NOT NULL").select("url").limit(0)))
     links = edges.filter("url IS NOT NULL").select("url", "source_type", "source_url").distinct()
     nodes = edges.filter("url IS NOT NULL").groupBy("url").agg(F.min_by("link_type", F.when(F.col("link_type") == "Internal", 0).otherwise(1)).alias("link_type"))
     failed = parsed.select("url", "error")

@@ -91,7 +91,10 @@ def _positive(x: Column) -> Column:
 
 
 def _repeated() -> Column:
-    return F.size(F.filter(F.array_distinct(P("ids")), lambda i: F.size(F.filter(P("ids"), lambda j: j == i)) > 1))
+    """How many ids a page has more than once: in order, those that follow an equal one and precede none."""
+    ids = F.array_sort(P("ids"))
+    after = lambda i, k: F.try_element_at(ids, k + i)
+    return F.size(F.filter(ids, lambda x, k: (k > 0) & after(0, F.greatest(k, F.lit(1))).eqNullSafe(x) & ~after(2, k).eqNullSafe(x)))
 
 
 class Images(PagePlugin):
@@ -254,8 +257,13 @@ class Registry:
         return parsed.filter("p IS NOT NULL").select(*kept, F.explode(F.array(*map(verdict, on))).alias("r")).select(*kept, "r.*")
 
     def analyze_site(self, nodes: DataFrame, edges: DataFrame, parsed: DataFrame) -> DataFrame:
-        """Rows of all site plugins with an enabled rule: site, rule_id, passed, kind, key, url (null without rows)."""
+        """Rows of all site plugins with an enabled rule: site, rule_id, passed, kind, key, url (null without rows).
+
+        No row if no such rule is enabled.
+        """
         found = [s.check(nodes, edges, parsed) for s in self.sites if self._on(s.rules())]
+        if not found:
+            return nodes.sparkSession.createDataFrame([], "site string, rule_id string, passed boolean, kind string, key string, url string")
         return reduce(DataFrame.unionByName, found)
 
     def dimension(self, spark: SparkSession) -> DataFrame:

@@ -41,14 +41,14 @@ class ResultStore:
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _versions(self, table: str) -> list[str]:
+    def _versions(self, table: str, complete: bool = True) -> list[str]:
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         top = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}")
         files = top.getFileSystem(conf)
         if not files.exists(top):
             return []
         names = [s.getPath() for s in files.listStatus(top)]
-        return sorted(p.toString() for p in names if files.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+        return sorted(p.toString() for p in names if not complete or files.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
 
     def migrate(self) -> None:
         """Creates tables that are not there."""
@@ -62,7 +62,8 @@ class ResultStore:
             self.write(name, self.spark.createDataFrame([], schema))
 
     def write(self, table: str, rows: DataFrame) -> None:
-        version = len(self._versions(table))
+        taken = self._versions(table, complete=False)  # a write that died keeps its number
+        version = 1 + int(taken[-1].rsplit("/v", 1)[1]) if taken else 0
         columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in TABLES[table]]
         rows.select(*columns).write.parquet(f"{self.path}/{table}/v{version:08d}")
 

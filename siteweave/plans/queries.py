@@ -218,12 +218,16 @@ def _issues(spark, sf):
     return reports.issue_groups(reports.category_detail(results(spark, sf), rules(spark)))
 
 
-@query("issues_flat", f"{WITH} SELECT name, severity, category, page_url, coalesce(nullif(regexp_extract(page_url, '^[a-z]+://[^/?#]+([^?#]*)', 1), ''), '/') AS pathname FROM ({DETAIL}) WHERE NOT passed UNION ALL SELECT 'Orphaned pages', 'Warning', 'SEO', url, coalesce(nullif(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1), ''), '/') FROM pages")
+LOST = f"SELECT url FROM (SELECT url, {CLEAN} AS node FROM pages) WHERE node NOT IN (SELECT CASE WHEN href LIKE '%://%/%' THEN href ELSE href || '/' END FROM ({RESOLVED}))"
+
+
+@query("issues_flat", f"{WITH} SELECT name, severity, category, page_url, coalesce(nullif(regexp_extract(page_url, '^[a-z]+://[^/?#]+([^?#]*)', 1), ''), '/') AS pathname FROM ({DETAIL}) WHERE NOT passed UNION ALL SELECT 'Orphaned pages', 'Warning', 'SEO', url, coalesce(nullif(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1), ''), '/') FROM ({LOST})")
 def _issues_flat(spark, sf):
     columns = ["name", "severity", "category", "page_url"]
     found = reports.category_detail(results(spark, sf), rules(spark), False).select(*columns)
-    lost = pages(spark, sf).select(F.lit("Orphaned pages").alias("name"), F.lit("Warning").alias("severity"), F.lit("SEO").alias("category"), F.col("url").alias("page_url"))
-    return reports.issues_flat(found, lost)
+    nodes = pages(spark, sf).select(clean_url(F.col("url")).alias("url"), F.col("url").alias("page_url"))
+    lost = orphans(nodes, page_links(parsed(spark, sf)).select(clean_url(F.col("href")).alias("url"), F.lit("Link").alias("source_type")))
+    return reports.issues_flat(found, lost.select(F.lit("Orphaned pages").alias("name"), F.lit("Warning").alias("severity"), F.lit("SEO").alias("category"), "page_url"))
 
 
 SYNTHETIC = "n AS (SELECT count(*) AS n FROM pages), edges AS (SELECT page_id AS src, (2 * page_id + 1) % n AS dst FROM pages, n UNION ALL SELECT page_id, (6 * page_id + 3) % n FROM pages, n)"
@@ -246,9 +250,9 @@ def _progress(spark, sf):
     return pages(spark, sf).select(F.col("page_id").alias("node")).join(done, "node", "left").agg(F.count("*").alias("total_pages"), F.count("done").alias("completed_pages"))
 
 
-@query("orphaned_pages", f"WITH {SYNTHETIC} SELECT page_id AS url FROM pages WHERE page_id % 10 = 0 AND page_id <> 0 AND page_id NOT IN (SELECT dst FROM edges)")
+@query("orphaned_pages", f"WITH {SYNTHETIC} SELECT page_id AS url FROM pages WHERE page_id NOT IN (SELECT dst FROM edges)")
 def _orphans(spark, sf):
-    listed = pages(spark, sf).filter("page_id % 10 = 0 AND page_id <> 0").select(F.col("page_id").alias("url"))
+    listed = pages(spark, sf).select(F.col("page_id").alias("url"))
     return orphans(listed, synthetic_edges(spark, sf).select(F.col("dst").alias("url"), F.lit("Link").alias("source_type")))
 
 
