@@ -163,6 +163,100 @@ for _id, _sql in RULE_SQL.items():
     query("rule_" + _id.replace(".", "_"), f"SELECT page_id, '{_id}' AS rule_id, {_sql} AS passed FROM pages")(_one_rule(_id))
 
 
+#: Pages on which every rule has both answers: (modulus, remainders, before which tag, what is put there). The supplied
+#: pages have no field, button, frame, role, tabindex, viewport, description or canonical URL.
+VARIED = (
+    (3, (0,), "</head>", '<link rel="canonical" href="{url}">'),
+    (3, (1,), "</head>", '<link rel="canonical" href="https://elsewhere.example/">'),
+    (5, (0,), "</head>", '<meta name="robots" content="noindex,follow">'),
+    (5, (1,), "</head>", '<meta name="robots" content="index">'),
+    (7, (0, 1, 2), "</head>", '<meta name="description" content="About {url}">'),
+    (7, (3,), "</head>", '<meta name="description" content="' + "long " * 40 + '">'),
+    (4, (0,), "</head>", '<meta name="viewport" content="width=device-width, initial-scale=1">'),
+    (4, (1,), "</head>", '<meta name="viewport" content="width=device-width, user-scalable=no">'),
+    (4, (2,), "</head>", '<meta name="viewport" content="maximum-scale=10">'),
+    (2, (0,), "</body>", '<img src="a.png" alt="a" srcset="a.png 1x">'),
+    (6, (1,), "</body>", '<img src="b.png">'),
+    (3, (0,), "</body>", "<button>Go</button>"),
+    (3, (1,), "</body>", "<button> </button>"),
+    (3, (2,), "</body>", '<button aria-label="x"></button>'),
+    (4, (1,), "</body>", '<a href="/deep/x"> </a>'),
+    (6, (0, 1), "</body>", '<a href="mailto:a@example.org">write</a><a href="https://elsewhere.example/y">there</a>'),
+    (5, (0,), "</body>", '<input id="n0">'),
+    (5, (1,), "</body>", '<label for="n1">N</label><input id="n1">'),
+    (5, (2,), "</body>", '<textarea name="n2"></textarea>'),
+    (5, (3,), "</body>", '<select id="n3"></select>'),
+    (3, (2,), "</body>", '<div aria-="x"></div>'),
+    (4, (0,), "</body>", '<div role="checkbox" aria-checked="true"></div>'),
+    (4, (1,), "</body>", '<div role="checkbox"></div>'),
+    (4, (2,), "</body>", '<div role="note"></div>'),
+    (7, (2, 5), "</body>", '<p id="one"></p><p id="two"></p><p id="one"></p>'),
+    (2, (1,), "</body>", '<iframe src="x" title="t"></iframe>'),
+    (5, (4,), "</body>", '<iframe src="y"></iframe>'),
+    (4, (0,), "</body>", '<p tabindex="0"></p>'),
+    (4, (1,), "</body>", '<p tabindex="3"></p>'),
+    (4, (2,), "</body>", '<p tabindex="-1"></p>'),
+    (8, (3,), "</body>", '<p tabindex="+5"></p>'),
+)
+#: What is taken out of pages: (modulus, remainder, pattern).
+STRIPPED = ((6, 5, "<!DOCTYPE html>"), (7, 3, "<title>.*?</title>"), (5, 3, ' lang="[^"]*"'), (6, 4, '<meta charset="[^"]*">'))
+
+
+def varied(spark: SparkSession, sf: str) -> DataFrame:
+    """(page_id, url, html, status_code): the pages with what VARIED and STRIPPED change; every fourth was redirected."""
+    k, html = F.col("page_id"), F.col("html")
+    for modulus, at, pattern in STRIPPED:
+        html = F.when(k % modulus == at, F.regexp_replace(html, "(?s)" + pattern, "")).otherwise(html)
+    for tag in ("</head>", "</body>"):
+        parts = [F.when((k % m).isin(*at), F.replace(F.lit(text), F.lit("{url}"), F.col("url"))).otherwise("") for m, at, before, text in VARIED if before == tag]
+        html = F.replace(html, F.lit(tag), F.concat(*parts, F.lit(tag)))
+    return pages(spark, sf).select("page_id", "url", html.alias("html"), F.when(k % 4 == 0, 301).otherwise(200).alias("status_code"))
+
+
+def _varied_sql() -> str:
+    html = "html"
+    for modulus, at, pattern in STRIPPED:
+        html = f"CASE WHEN page_id % {modulus} = {at} THEN regexp_replace({html}, '{pattern}', '', 'gs') ELSE {html} END"
+    for tag in ("</head>", "</body>"):
+        parts = [f"CASE WHEN page_id % {m} IN ({', '.join(map(str, at))}) THEN replace('{text}', '{{url}}', url) ELSE '' END" for m, at, before, text in VARIED if before == tag]
+        html = f"replace({html}, '{tag}', {' || '.join(parts)} || '{tag}')"
+    return f"SELECT page_id, url, {html} AS html, CASE WHEN page_id % 4 = 0 THEN 301 ELSE 200 END AS status_code FROM pages"
+
+
+VARIED_PAGES = _varied_sql()
+FIELDS = r"regexp_extract_all(html, '<(?:input|select|textarea)[^>]*>')"
+FIELD_ID = """regexp_extract(x, ' id="([^"]*)"', 1)"""
+#: Rules whose short form over the supplied pages does not state all of the rule.
+VARIED_SQL = RULE_SQL | {
+    "request.redirects": "status_code NOT BETWEEN 300 AND 399",
+    "axe.form_field_labels": f"""len(list_filter({FIELDS}, lambda x: {FIELD_ID} = '' OR contains(html, '<label for="' || {FIELD_ID} || '"'))) = 0""",
+    "axe.aria_required_attr": _each('<[a-z]+[^>]*role="checkbox"[^>]*>', "NOT contains(x, 'aria-checked')"),
+}
+
+
+def _varied_rule(rule_id: str) -> Query:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        registry = Registry.default(RuleConfig({rule_id: True}))
+        return registry.analyze(parse_pages(varied(spark, sf))).select("page_id", "rule_id", "passed")
+
+    return run
+
+
+for _id, _sql in VARIED_SQL.items():
+    query("varied_rule_" + _id.replace(".", "_"), f"SELECT page_id, '{_id}' AS rule_id, {_sql} AS passed FROM ({VARIED_PAGES})")(_varied_rule(_id))
+
+
+@query("varied_link_types", f"""SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS raw FROM ({VARIED_PAGES})""".join(("SELECT page_id, CASE WHEN raw LIKE 'mailto:%' THEN 'Mailto' WHEN raw LIKE 'https://elsewhere%' THEN 'External' ELSE 'Internal' END AS link_type, count(*) AS n FROM (", ") GROUP BY ALL")))
+def _varied_links(spark, sf):
+    links = page_links(parse_pages(varied(spark, sf)))
+    return links.join(pages(spark, sf).select("url", "page_id"), "url").groupBy("page_id", "link_type").agg(F.count("*").alias("n"))
+
+
+@query("varied_description_uniqueness", f"SELECT site, count(d) AS total, count(DISTINCT d) AS distinct_values, count(d) = 0 OR count(DISTINCT d) * 100.0::DOUBLE / count(d) >= 90 AS passed FROM (SELECT {HOST} AS site, nullif({DESCRIPTION}, '') AS d FROM ({VARIED_PAGES})) GROUP BY 1")
+def _varied_descriptions(spark, sf):
+    return uniqueness(parse_pages(varied(spark, sf)).select(host(F.col("url")).alias("site"), F.col("p.description").alias("d")), "d")
+
+
 @query("rule_results_long", f"{WITH} SELECT page_id, rule_id, passed FROM long")
 def _long(spark, sf):
     return results(spark, sf).select("page_id", "rule_id", "passed")
