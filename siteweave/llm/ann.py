@@ -131,11 +131,13 @@ def nearest(table: DataFrame, k: int, *, is_query: Column, key: str = "vec_id",
                 a, b = (np.frombuffer(get[x][i].as_buffer(), kind).reshape(n, width).astype(np.float64) for x, n in (("qm", len(q)), ("cm", len(c))))
                 scores = (a @ b.T) / (np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1))
                 n = min(keep, len(c))
-                top = np.lexsort((np.broadcast_to(c, scores.shape), -scores), axis=1)[:, :n] if len(c) <= 64 else np.argpartition(-scores, n - 1, axis=1)[:, :n]
+                least = np.partition(scores, len(c) - n, axis=1)[:, len(c) - n]
                 for row, x in enumerate(q.tolist()):
                     own = best.setdefault(x, {})
                     floor = min(own.values()) if len(own) >= keep else -2.0
-                    for j in top[row]:
+                    among = np.flatnonzero(scores[row] >= least[row])  # with all that tie with the last of the best
+                    top = among[np.lexsort((c[among], -scores[row][among]))][:n]
+                    for j in top:
                         if scores[row, j] >= floor:
                             own[int(c[j])] = float(scores[row, j])
                     if len(own) > 4 * keep:

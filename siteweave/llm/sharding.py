@@ -12,7 +12,7 @@ from math import ceil, log2
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siteweave.llm.common import materialize, text_bytes
+from siteweave.llm.common import free_name, materialize, text_bytes
 
 #: Bits of a key's hash; the row's own bits follow them and part rows of one key.
 KEY_BITS = 60
@@ -90,12 +90,14 @@ def assign_shards(docs: DataFrame, limit_bytes: int, *, key: str = "doc_id", tex
 def write_shards(docs: DataFrame, path: str, limit_bytes: int, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Writes ``docs`` as Parquet with one folder for each shard, and returns the directory table.
 
-    Keys must be unique and not null here, because rows are matched to their shards by key.
+    Keys must be unique and not null here, because rows are matched to their shards by key. Folders are named ``shard``,
+    with underscores ahead if ``docs`` has such a column.
     """
     shards = assign_shards(docs, limit_bytes, key=key, text=text)
     shards = materialize(shards, "shards")
-    out = docs.join(shards.select(key, "shard"), key).withColumn("shard", F.concat(F.lit("b"), "shard"))
-    out.repartition("shard").write.partitionBy("shard").parquet(path)
+    folder = free_name("shard", docs.columns)
+    out = docs.join(shards.select(key, F.concat(F.lit("b"), "shard").alias(folder)), key)
+    out.repartition(folder).write.partitionBy(folder).parquet(path)
     return shards.groupBy("shard").agg(F.max("depth").alias("depth"), F.max("shard_bytes").alias("shard_bytes"), F.max("shard_docs").alias("shard_docs"), F.max("oversized").alias("oversized"))
 
 

@@ -322,8 +322,66 @@ def test_tables(spark, docs, empty, tokenizer):
     assert sstable.read_tables(sstable.write_tables(empty, scratch(spark, "ids"))).isEmpty()
 
 
+def test_stages_keep_own_columns(spark, docs):
+    names = ["lang_pred", "rejected", "raw", "rid", "spans", "n_bytes", "n_removed", "n_spans", "kept_sha256", "row", "_row", "own", "key", "c0"]
+    table = docs
+    for i, name in enumerate(names):
+        table = table.withColumn(name, F.lit(float(i)))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, table, SF)
+        assert out.columns == table.columns
+        for r in out.collect():
+            assert r.score == 0.5 and [r[n] for n in names] == [float(i) for i in range(len(names))], name
+
+
+def test_clashing_columns_of_operators(spark, docs):
+    extra = docs.withColumn("raw", F.lit(1)).withColumn("rid", F.lit(2)).withColumn("w", F.lit(3)).withColumn("base", F.lit(4)).withColumn("body", F.lit(5)).withColumn("key", F.lit(6))
+    got = hpylm.score(extra, hpylm.fit(extra)).collect()
+    assert len(got) == len(oddities()) and all((r.raw, r.rid, r.w, r.base, r.body, r.key) == (1, 2, 3, 4, 5, 6) for r in got)
+    assert suffixdedup.deduplicate(extra.withColumn("spans", F.lit(7))).filter("raw = 1 AND rid = 2 AND spans = 7").count() == len(oddities())
+    own = docs.dropDuplicates(["doc_id"]).withColumn("shard", F.lit("mine"))
+    path = scratch(spark, "shards")
+    sharding.write_shards(own, path, 1000)
+    assert spark.read.parquet(path).filter("shard = 'mine' AND _shard LIKE 'b%'").count() == own.count()
+
+
+COLUMNS = {
+    "op1_topk": "query_id bigint, rank int, vec_id bigint, score bigint",
+    "op2_simhash": "doc_id bigint, fingerprint string, component_id bigint",
+    "op4_hpylm": "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double",
+    "op5_langid": "doc_id bigint, held_out boolean, lang_pred string, score double",
+    "op6_ann": "query_id bigint, rank int, vec_id bigint, score double",
+    "op7_bpe": "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string",
+    "op8_packing": "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint",
+    "op9_suffixdedup": "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string",
+    "op10_sstable": "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint",
+}
+
+
+@pytest.mark.parametrize("name", COLUMNS)
+def test_queries_keep_their_contracts(spark, name):
+    from siteweave.llm.registry import QUERIES
+
+    out = QUERIES[name](spark, SF)
+    kinds = dict(out.dtypes)
+    assert {c: kinds.get(c) for c, _ in (x.split(" ") for x in COLUMNS[name].split(", "))} == dict(x.split(" ") for x in COLUMNS[name].split(", "))
+    n = spark.read.parquet(f"{SF}/documents.parquet").count()
+    if name not in ("op1_topk", "op6_ann", "op8_packing"):
+        assert out.select("doc_id").distinct().count() == out.count() == n
+
+
+def test_pipeline_as_a_whole(spark):
+    out = corpus_pipeline.run(spark, SF).toPandas()
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        path = scratch(spark, "whole")
+        stage(spark, table, SF).write.parquet(path)
+        table = spark.read.parquet(path)
+    assert set(out.doc_id) == {r[0] for r in table.select("doc_id").collect()} and (out.groupby("doc_id").length.sum() == out.groupby("doc_id").doc_tokens.first()).all()
+
+
 def test_pipeline(spark, docs, empty):
-    table, columns = docs.drop("score").withColumn("n_chars", F.lit(1).cast("long")), None
+    table, columns = docs.withColumn("n_chars", F.lit(1).cast("long")), None
     kept = {}
     for name, stage in corpus_pipeline.STAGES:
         columns = table.columns
