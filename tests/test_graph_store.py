@@ -101,3 +101,27 @@ def test_fetch_and_settings(spark, tmp_path):
     report = spark.createDataFrame([('{"categories":{"seo":{"score":0.5}},"audits":{"interactive":{"numericValue":3.5}}}',)], "json string")
     row = metrics(report).first()
     assert (row.seo_score, row.time_to_interactive, row.pwa_score) == (50.0, 3.5, 0.0)
+
+
+def test_a_dead_write_keeps_its_number(spark, tmp_path):
+    store = ResultStore(spark, str(tmp_path / "store"))
+    store.migrate()
+    (tmp_path / "store" / "site" / "v00000001").mkdir()  # without _SUCCESS
+    assert store.create_run("https://s.example/") == 1 and store.upsert_site("https://t.example/") == 2
+    assert store.read("site").count() == 2
+
+
+def test_a_crawl_without_pages(spark):
+    none = spark.createDataFrame([], "url string")
+    pages = spark.createDataFrame([("https://s.example/", page("/a"))], "url string, html string")
+    for base, rounds in (("https://s.example/", 0), ("httpfoo/x", None)):
+        found = crawl(spark, base, none, snapshot_fetch(pages), max_rounds=rounds)
+        assert found.results.isEmpty() and found.nodes.count() == (1 if rounds == 0 else 0)
+
+
+def test_no_site_rule_gives_no_row(spark):
+    from siteweave.operators.rules import Registry, RuleConfig
+
+    pages = spark.createDataFrame([("https://s.example/", page("/a"))], "url string, html string")
+    found = crawl(spark, "https://s.example/", spark.createDataFrame([], "url string"), snapshot_fetch(pages), registry=Registry.default(RuleConfig({"title.has_title": True})))
+    assert found.site_results.isEmpty() and not found.results.isEmpty()
