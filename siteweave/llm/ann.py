@@ -177,5 +177,6 @@ def _against_all(few: DataFrame, members: DataFrame, rerank, width: int, kind: s
 
 
 def op6_ann(spark, sf_dir: str) -> DataFrame:
+    """The five nearest vectors found for every fiftieth one, by cosine."""
     found = nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), 5, is_query=F.col("id") % 50 == 0)
     return found.withColumnRenamed("id", "vec_id")

@@ -420,5 +420,6 @@ def digest(docs: DataFrame, lexicon_name: str | None, *, key: str = "doc_id", te
 
 
 def op7_bpe(spark, sf_dir: str) -> DataFrame:
+    """Ids of all documents and the texts they decode to, as digests."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return digest(docs, fit_lexicon(docs))

@@ -185,6 +185,7 @@ def predict(docs: DataFrame, model: Model | None, *, text: str = "text") -> Data
 
 
 def op5_langid(spark, sf_dir: str) -> DataFrame:
+    """Languages of all documents, learned from those not held out. A null doc_id has held_out null, and is not learned from."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     held_out = bucket_of(F.col("doc_id"), 4) == 2
     model = fit(docs, training=~held_out)

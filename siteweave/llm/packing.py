@@ -148,4 +148,5 @@ def pack(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length: in
 
 
 def op8_packing(spark, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 1,024 ids."""
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))

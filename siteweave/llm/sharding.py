@@ -106,6 +106,7 @@ LIMIT = 1 << 20
 
 
 def op3_sharding(spark, sf_dir: str) -> DataFrame:
+    """Shards of all documents."""
     return assign_shards(spark.read.parquet(f"{sf_dir}/documents.parquet"), LIMIT)
 
 

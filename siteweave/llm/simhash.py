@@ -584,5 +584,6 @@ def similar_texts(docs: DataFrame, *, key: str = "doc_id", text: str = "text", w
 
 
 def op2_simhash(spark, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and the components that two bits link."""
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))

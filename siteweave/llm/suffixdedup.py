@@ -381,4 +381,5 @@ def deduplicate(docs: DataFrame, *, text: str = "text", length: int = LENGTH, wi
 
 
 def op9_suffixdedup(spark, sf_dir: str) -> DataFrame:
+    """What repeated strings of 200 bytes cover in all documents."""
     return deduplicate(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))

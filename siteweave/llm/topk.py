@@ -172,6 +172,7 @@ def top_k(table: DataFrame, k: int, *, is_query: Column, key: str = "vec_id", ve
 
 
 def op1_topk(spark, sf_dir: str) -> DataFrame:
+    """The 20 best vectors for every twentieth one, by inner product of 64ths."""
     found = top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), 20, is_query=F.col("id") % 20 == 0)
     return found.withColumnRenamed("id", "vec_id")
 
