@@ -248,6 +248,19 @@ def test_bpe(spark, docs, empty, tokenizer):
     assert bpe.digest(empty, bpe.fit_lexicon(empty)).isEmpty()
 
 
+def test_cuts_at_spaces_change_no_token(tokenizer):
+    rng = np.random.default_rng(8)
+    signs = list("ab 1'\n\t \u3000\x1c\u200b!\u00e9.  ") + [" the", "'ll ", "  x", " \n ", "\u65e5"]
+    texts = ["".join(rng.choice(signs, rng.integers(0, 40))) for _ in range(4000)] + ["a" * 1000 + " " + "ab" * 400]
+    words = bpe.vocabulary(bpe.vocabulary_path())
+    lexicon = bpe.Lexicon(bpe.build_lexicon({w: words.merge(w) for w in (b" the", b" a", b"ab", b" b", "\u00e9".encode())}))
+    own = bpe.Coder(words, lexicon)
+    for text, want in zip(texts, tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
+        packed = own.encode(text)
+        assert np.frombuffer(packed, "<u4").tolist() == want.ids
+        assert own.decode(packed) == tokenizer.decode(want.ids, skip_special_tokens=False)
+
+
 def test_packing(spark, docs, empty, tokenizer):
     rows = packing.pack(docs.dropDuplicates(["doc_id"]), with_ids=True).toPandas()
     for i, text, *_ in oddities()[:-1]:
