@@ -49,11 +49,26 @@ def materialize(df: DataFrame, name: str, *, partition_by: list[str] | None = No
     return out
 
 
-#: Scratch tables of this session that are still there.
+def materialize_bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """Like ``materialize``, dealt into a bucket for each shuffle partition: a join by ``key`` shuffles the other side only."""
+    spark, path = df.sparkSession, scratch(df.sparkSession, name)
+    table = path.rsplit("/", 1)[1].replace("-", "_")
+    df.write.option("compression", "zstd").option("path", path).bucketBy(partitions(df), key).saveAsTable(table)
+    out = spark.table(table)
+    out.scratch_path = path
+    _written.append(path)
+    _named[path] = table
+    return out
+
+
+#: Scratch tables of this session that are still there, and the catalog's names of bucketed ones.
 _written: list[str] = []
+_named: dict[str, str] = {}
 
 
 def _delete(spark: SparkSession, path: str) -> None:
+    if path in _named:
+        spark.sql(f"DROP TABLE IF EXISTS {_named.pop(path)}")
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
     if path in _written:
