@@ -35,6 +35,11 @@ def broken_references(child: DataFrame, column: str, parent: DataFrame) -> DataF
     return child.join(parent.select(F.col("id").alias(column)), column, "left_anti")
 
 
+def page_key() -> Column:
+    """The stored id of a page of a run: the same wherever it is computed, so pages need no numbering."""
+    return F.xxhash64("site_run_id", "url")
+
+
 class ResultStore:
     """Tables under one folder. A write makes a new version of a table; readers see the last complete one."""
 
@@ -75,8 +80,8 @@ class ResultStore:
 
     def seed_rules(self, dimension: DataFrame) -> None:
         """Inserts rules or renews them; ``enabled`` stays as it was."""
-        old = self.read("plugin_rule").select("id", F.col("enabled").alias("was"))
-        fresh = dimension.join(old, "id", "left").withColumn("enabled", F.coalesce("was", "enabled")).drop("was")
+        old = self.read("plugin_rule").select("id", F.col("enabled").alias("was"), F.col("created_at").alias("made"))
+        fresh = dimension.join(old, "id", "left").withColumns({"enabled": F.coalesce("was", "enabled"), "created_at": F.coalesce("made", F.current_timestamp()), "updated_at": F.current_timestamp()}).drop("was", "made")
         gone = self.read("plugin_rule").join(dimension.select("id"), "id", "left_anti")
         self.write("plugin_rule", fresh.unionByName(gone))
 
@@ -103,18 +108,23 @@ class ResultStore:
             raise KeyError(f"no run {run}")
         self.write("site_run", runs.withColumn("status", F.when(F.col("id") == run, status).otherwise(F.col("status"))))
 
+    def _site_of(self, run: int) -> int | None:
+        row = self.read("site_run").filter(F.col("id") == run).select("site_id").first()
+        return row[0] if row else None
+
     def add_pages(self, run: int, pages: DataFrame) -> None:
         """``pages``: url, link_type[, seq]. A page's first link type stays."""
+        site = self._site_of(run)
         seq = F.col("seq") if "seq" in pages.columns else F.lit(0)
         old = self.read("site_page").withColumn("seq", F.lit(-1).cast("long"))
-        new = pages.select(F.lit(run).alias("site_run_id"), "url", F.col("link_type").alias("db_link_type"), F.current_timestamp().alias("created_at"), seq.cast("long").alias("seq"))
+        new = pages.select(F.lit(site).cast("int").alias("site_id"), F.lit(run).alias("site_run_id"), "url", F.col("link_type").alias("db_link_type"), F.current_timestamp().alias("created_at"), seq.cast("long").alias("seq")).withColumn("id", page_key())
         self.write("site_page", upsert(old.unionByName(new), ["site_run_id", "url"], "seq", last=False))
 
     def add_results(self, run: int, results: DataFrame) -> None:
         """``results``: url, rule_id, passed[, seq]. The last verdict of a page and rule stays."""
         seq = F.col("seq") if "seq" in results.columns else F.lit(0)
         old = self.read("page_rule_result").withColumn("seq", F.lit(-1).cast("long"))
-        new = results.select(F.lit(run).alias("site_run_id"), "url", "rule_id", "passed", F.current_timestamp().alias("created_at"), seq.cast("long").alias("seq"))
+        new = results.select(F.lit(run).alias("site_run_id"), "url", "rule_id", "passed", F.current_timestamp().alias("created_at"), seq.cast("long").alias("seq")).withColumns({"id": F.xxhash64("site_run_id", "url", "rule_id"), "site_page_id": page_key()})
         self.write("page_rule_result", upsert(old.unionByName(new), ["site_run_id", "url", "rule_id"], "seq", last=True))
 
     def save_crawl(self, run: int, found) -> None:

@@ -445,4 +445,4 @@ def _stream(spark, sf):
     store = ResultStore(spark, f"{top}/store")
     store.migrate()
     streams.sink(streams.read_events(spark, f"{top}/in"), store, f"{top}/state").awaitTermination()
-    return store.read("page_rule_result").drop("created_at")
+    return store.read("page_rule_result").select("site_run_id", "url", "rule_id", "passed")

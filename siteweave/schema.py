@@ -23,13 +23,14 @@ PARSED = (
 
 SITE = T.StructType().add("id", "integer").add("name", S).add("url", S).add("created_at", "timestamp")
 SITE_RUN = T.StructType().add("id", "integer").add("site_id", "integer").add("created_at", "timestamp").add("status", S)
-SITE_PAGE = T.StructType().add("site_run_id", "integer").add("url", S).add("db_link_type", S).add("created_at", "timestamp")
-PAGE_RULE_RESULT = T.StructType().add("site_run_id", "integer").add("url", S).add("rule_id", S).add("passed", "boolean").add("created_at", "timestamp")
+SITE_PAGE = T.StructType().add("id", "long").add("site_id", "integer").add("site_run_id", "integer").add("url", S).add("db_link_type", S).add("created_at", "timestamp")
+PAGE_RULE_RESULT = T.StructType().add("id", "long").add("site_page_id", "long").add("site_run_id", "integer").add("url", S).add("rule_id", S).add("passed", "boolean").add("created_at", "timestamp")
 PLUGIN_RULE = (
     T.StructType().add("id", S).add("name", S).add("plugin_name", S).add("description", S).add("severity", S).add("category", S)
     .add("rule_type", S).add("passed_message", S).add("failed_message", S).add("enabled", "boolean")
 )
-TABLES = {"site": SITE, "site_run": SITE_RUN, "site_page": SITE_PAGE, "page_rule_result": PAGE_RULE_RESULT, "plugin_rule": PLUGIN_RULE}
+STORED_RULE = T.StructType([*PLUGIN_RULE.fields]).add("created_at", "timestamp").add("updated_at", "timestamp")
+TABLES = {"site": SITE, "site_run": SITE_RUN, "site_page": SITE_PAGE, "page_rule_result": PAGE_RULE_RESULT, "plugin_rule": STORED_RULE}
 
 LINK_TYPES = ["Internal", "External", "Mailto", "Tel", "Unknown"]
 RUN_STATUSES = ["Pending", "Running", "Finished", "Error"]

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siteweave.functions.html import parse_pages
 from siteweave.functions.urls import resolve
 
 #: Where sitemaps are looked for if a site names none: fixed values.
@@ -40,6 +41,22 @@ def candidates(sites: DataFrame) -> DataFrame:
     return sites.select("site", F.explode(F.when(F.col("sitemap").isNotNull(), F.array("sitemap")).otherwise(known)).alias("raw")).select("site", resolve("raw", "site").alias("url")).filter("url IS NOT NULL")
 
 
+def discover(sites: DataFrame, fetch: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(site, sitemap): the sitemap that each site's root page names, null if none; ``fetch`` maps (url) to (url, html)."""
+    roots = fetch(sites.select(F.col("site").alias("url"))).select("url", "html")
+    return sites.join(parse_pages(roots).select(F.col("url").alias("site"), F.col("p.sitemap").alias("sitemap")), "site", "left")
+
+
+def bodies(fetch: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
+    """What ``expand`` reads sitemaps by, from a fetch of pages: (site, url) to (site, url, body)."""
+
+    def run(wanted: DataFrame) -> DataFrame:
+        read = fetch(wanted.select("url").distinct()).select("url", F.col("html").alias("body"))
+        return wanted.join(read, "url", "left").select("site", "url", "body")
+
+    return run
+
+
 def expand(start: DataFrame, fetch: Callable[[DataFrame], DataFrame], *, cut: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(site, url): all locations reached from the sitemaps ``start`` (site, url), children of an index included.
 

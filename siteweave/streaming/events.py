@@ -14,14 +14,20 @@ EVENT = (
 )
 
 
-def crawl_events(nodes: DataFrame, results: DataFrame, run: int) -> DataFrame:
-    """FoundLink for each node, then AnalyzedPage for each result."""
-    empty = lambda name: F.lit(None).cast(EVENT[name].dataType).alias(name)
+def crawl_events(nodes: DataFrame, results: DataFrame, run: int, *, total: int | None = None, completed: int | None = None) -> DataFrame:
+    """FoundLink for each node, then AnalyzedPage for each result, with the crawl's counts where they are given."""
+    given = {"total_pages": total, "completed_pages": completed}
+    empty = lambda name: F.lit(given.get(name)).cast(EVENT[name].dataType).alias(name)
     found = nodes.select(F.lit(0).cast("long").alias("seq"), F.lit(run).alias("site_run_id"), F.lit("FoundLink").alias("kind"), "url", "link_type", *map(empty, EVENT.names[5:]))
     done = results.select(F.lit(1).cast("long").alias("seq"), F.lit(run).alias("site_run_id"), F.lit("AnalyzedPage").alias("kind"), "url", empty("link_type"), "rule_id", "passed", *map(empty, EVENT.names[7:]))
     return found.unionByName(done)
 
 
+def run_event(spark: SparkSession, run: int, kind: str, url: str, *, seq: int, total: int | None = None, completed: int | None = None) -> DataFrame:
+    """An event of a whole run: AnalysisStart or AnalysisFinished."""
+    return spark.createDataFrame([(seq, run, kind, url, None, None, None, total, completed)], EVENT)
+
+
 def apply_batch(store: ResultStore, batch: DataFrame) -> None:
     """Stores one batch; doing it again changes nothing. A run's status changes last."""
     runs = [r[0] for r in batch.select("site_run_id").distinct().collect()]  # runs under way
