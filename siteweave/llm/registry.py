@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siteweave.llm import ann, bpe, hpylm, langid, packing, sharding, simhash, sstable, suffixdedup, topk
+from siteweave.llm import alignment, ann, bpe, decontamination, hpylm, langid, packing, sharding, simhash, sstable, suffixdedup, topk, whitening
 
 QUERIES = {
     "op1_topk": topk.op1_topk,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_suffixdedup": suffixdedup.op9_suffixdedup,
     "op10_sstable": sstable.op10_sstable,
+    "op11_whitening": whitening.op11_whitening,
+    "op12_decontamination": decontamination.op12_decontamination,
+    "op13_alignment": alignment.op13_alignment,
 }
-ORACLES = {"op1_topk": topk.ORACLE, "op3_sharding": sharding.ORACLE}
+ORACLES = {"op1_topk": topk.ORACLE, "op3_sharding": sharding.ORACLE, "op12_decontamination": decontamination.ORACLE}
