@@ -253,7 +253,7 @@ class Registry:
         on = self._on(self.page_rules())
         if not on:
             raise ValueError("no page rule is enabled")
-        kept = [c for c in parsed.columns if c not in ("html", "p")]
+        kept = [c for c in parsed.columns if c not in ("html", "p", "elements")]
         return parsed.filter("p IS NOT NULL").select(*kept, F.explode(F.array(*map(verdict, on))).alias("r")).select(*kept, "r.*")
 
     def analyze_site(self, nodes: DataFrame, edges: DataFrame, parsed: DataFrame) -> DataFrame:

@@ -11,7 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siteweave.functions.elements import node_table, with_elements
 from siteweave.functions.html import parse_pages
+from siteweave.functions.selectors import IDENTIFIER, all_elements, attribute, first_element
 from siteweave.functions.urls import clean_url, host, path, root, with_scheme
 from siteweave.operators import reports
 from siteweave.operators.graph import cut_lineage, page_links, reachable
@@ -257,6 +259,48 @@ def _varied_descriptions(spark, sf):
     return uniqueness(parse_pages(varied(spark, sf)).select(host(F.col("url")).alias("site"), F.col("p.description").alias("d")), "d")
 
 
+#: Selectors over the varied pages, and how often the text of a page has what each selects.
+SELECTORS = {
+    'head > link[rel=canonical][href^="http://"], head > link[rel=canonical][href^="https://"]': '<link rel="canonical" href="http',
+    "nav ul > li > a[href]": '<li><a href="',
+    "body p[tabindex]": "<p tabindex=",
+    'iframe[title="t"]': '<iframe src="x" title="t">',
+    'div[role~="checkbox"]:not([aria-checked])': '<div role="checkbox">',
+    "p#one + p#two": '<p id="one"></p><p id="two">',
+    "p#two ~ p:empty#one": '<p id="two"></p><p id="one">',
+    "input, select#n3, textarea[name=n2]": "<input |<select |<textarea ",
+    "article h1, head title": "<h1>|<title>",
+    "body article li": "no such thing",
+}
+
+
+@query("select_elements", f"SELECT page_id, unnest([{', '.join(chr(39) + s + chr(39) for s in SELECTORS)}]) AS selector, unnest([{', '.join(f'len(regexp_extract_all(html, {chr(39)}{p}{chr(39)}))' for p in SELECTORS.values())}])::INTEGER AS n FROM ({VARIED_PAGES})")
+def _select_elements(spark, sf):
+    asked = [F.struct(F.lit(s).alias("selector"), F.size(all_elements(s)).alias("n")) for s in SELECTORS]
+    return with_elements(varied(spark, sf)).select("page_id", F.explode(F.array(*asked)).alias("x")).select("page_id", "x.*")
+
+
+@query("first_element", f"SELECT page_id, nullif(regexp_extract(html, 'tabindex=\"([^\"]*)\"', 1), '') AS tabindex, regexp_extract(html, '<a href=\"([^\"]*)\"', 1) AS href, CASE WHEN contains(html, '<button') THEN 'button' END AS button FROM ({VARIED_PAGES})")
+def _first_element(spark, sf):
+    ask = lambda selector, name: F.try_element_at(first_element(selector)["attrs"], F.lit(name)).alias(name)
+    return with_elements(varied(spark, sf)).select("page_id", ask("[tabindex]", "tabindex"), ask("a[href]", "href"), first_element("body button")["tag"].alias("button"))
+
+
+@query("select_nodes", f"SELECT page_id, count_if(NOT starts_with(x, '</'))::BIGINT AS links, any_value(len(regexp_extract_all(html, '<li>')))::BIGINT AS items FROM (SELECT page_id, html, unnest(regexp_extract_all(html, '<a [^>]*>')) AS x FROM ({VARIED_PAGES})) GROUP BY 1")
+def _select_nodes(spark, sf):
+    nodes = node_table(with_elements(varied(spark, sf)))
+    lists, items = (nodes.filter(F.col("tag") == tag).select("page_id", "pre", "last") for tag in ("ul", "li"))
+    inside = items.alias("i").join(lists.alias("l"), [F.col("i.page_id") == F.col("l.page_id"), F.col("i.pre") > F.col("l.pre"), F.col("i.pre") <= F.col("l.last")]).groupBy("i.page_id").agg(F.count("*").alias("items"))
+    return nodes.filter("tag = 'a'").groupBy("page_id").agg(F.count("*").alias("links")).join(inside, "page_id", "left").select("page_id", "links", F.coalesce("items", F.lit(0)).alias("items"))
+
+
+@query("form_fields_by_selector", f"SELECT page_id, {VARIED_SQL['axe.form_field_labels']} AS passed FROM ({VARIED_PAGES})")
+def _form_fields(spark, sf):
+    """The rule of form fields as it is audited, asked by selectors: a field is bad without an id, or if a label names it."""
+    bad = lambda e: attribute(e, "id").isNull() | attribute(e, "id").rlike(IDENTIFIER) & (F.size(all_elements("label[for=?]", attribute(e, "id"))) > 0)
+    return with_elements(varied(spark, sf)).select("page_id", (F.size(F.filter(all_elements("input, select, textarea"), bad)) == 0).alias("passed"))
+
+
 @query("rule_results_long", f"{WITH} SELECT page_id, rule_id, passed FROM long")
 def _long(spark, sf):
     return results(spark, sf).select("page_id", "rule_id", "passed")
