@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from siteweave.functions.urls import resolve_one
-from siteweave.operators.graph import Crawl, crawl, cut_lineage
+from siteweave.operators.graph import Crawl, crawl
 from siteweave.operators.rules import Registry
 from siteweave.operators.store import ResultStore
 from siteweave.sources.fetch import http_fetch
@@ -35,7 +35,7 @@ def base_url(typed: str) -> str:
 def sitemap_urls(spark: SparkSession, base: str, fetch: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(url): what the site's sitemaps list, the one its root page names or else the well-known ones."""
     sites = spark.createDataFrame([(base,)], "site string")
-    return expand(candidates(discover(sites, fetch)), bodies(fetch), cut=cut_lineage).select("url")
+    return expand(candidates(discover(sites, fetch)), bodies(fetch)).select("url")
 
 
 def audit(spark: SparkSession, url: str, store: ResultStore, *, fetch: Callable[[DataFrame], DataFrame] | None = None, settings: CrawlSettings | None = None, registry: Registry | None = None, max_rounds: int | None = None, events: str | None = None, on_event: Callable[[dict], None] | None = None) -> Audit:

@@ -10,15 +10,13 @@ from pyspark.sql import functions as F
 
 from siteweave.functions.html import parse_pages
 from siteweave.functions.urls import clean_url, link_type, resolve
+from siteweave.operators.rounds import Rounds, Seen, shared_folder
 from siteweave.operators.rules import Registry
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the shared folder that the session names; only where it names none, one is set."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        conf = df.sparkSession.conf
-        context.setCheckpointDir(conf.get("spark.checkpoint.dir", None) or conf.get("spark.sql.warehouse.dir") + "/checkpoints")
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -29,17 +27,29 @@ def page_links(parsed: DataFrame) -> DataFrame:
     return found.select("url", "at", "raw", "href", F.try_parse_url("href", F.lit("PATH")).alias("path"), link_type(F.col("href"), F.col("url")).alias("link_type"), F.col("href").isNull().alias("error"))
 
 
-def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(node, round): nodes that ``seeds`` (node) lead to over ``edges`` (src, dst), breadth first; cycles are harmless."""
-    seen = cut_lineage(seeds.select("node").distinct().withColumn("round", F.lit(0)))
-    frontier, turn = seen, 0
+def reachable(edges: DataFrame, seeds: DataFrame, *, rounds: Rounds | None = None) -> DataFrame:
+    """(node, round): nodes that ``seeds`` (node) lead to over ``edges`` (src, dst), breadth first; cycles are harmless.
+
+    Each round writes the nodes that are new in it, and nothing else.
+    """
+    rounds = rounds or Rounds(edges.sparkSession, name="reachable")
+    seen, turn, wanted = Seen(rounds, ["node"]), 0, seeds
     while True:
-        turn += 1
-        fresh = edges.join(frontier.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti")
-        frontier = cut_lineage(fresh.withColumn("round", F.lit(turn)))
+        frontier = seen.fresh(turn, wanted)
         if frontier.isEmpty():
-            return seen
-        seen = cut_lineage(seen.unionByName(frontier))
+            return rounds.all(seen.table).select("node", "round")
+        wanted = edges.join(frontier.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node"))
+        turn += 1
+
+
+@dataclass
+class Round:
+    """What a round of a crawl made: links (url, link_type) that its pages have, its pages and their results."""
+
+    number: int
+    links: DataFrame
+    pages: DataFrame
+    results: DataFrame
 
 
 @dataclass
@@ -51,6 +61,7 @@ class Crawl:
     results: DataFrame
     site_results: DataFrame
     quarantine: DataFrame
+    rounds: Rounds
 
     def total_pages(self) -> int:
         return self.nodes.count()
@@ -65,16 +76,21 @@ class Crawl:
         return both.agg(F.sum("t").alias("total_pages"), F.sum("c").alias("completed_pages"))
 
 
-def crawl(spark: SparkSession, base_url: str, sitemap: DataFrame, fetch: Callable[[DataFrame], DataFrame], *, registry: Registry | None = None, max_rounds: int | None = None, strict: bool = False) -> Crawl:
+def crawl(spark: SparkSession, base_url: str, sitemap: DataFrame, fetch: Callable[[DataFrame], DataFrame], *, registry: Registry | None = None, max_rounds: int | None = None, strict: bool = False, folder: str | None = None, on_round: Callable[[Round], None] | None = None) -> Crawl:
     """Follows internal links from the root and the sitemap's URLs until there is nothing new.
 
     ``sitemap`` has a column url. ``fetch`` maps (url) to (url, html, status_code, error): the snapshot or the network.
     Links are resolved against their page, then classed against the site. Pages that can't be fetched are error nodes
     without results. Links that are no URL go to ``quarantine``; with ``strict`` they stop the crawl. Without a round, or
     from a base that is no URL and no sitemap, no page is fetched and the results are empty.
+
+    A round writes its new URLs, pages, results and links to folders of their own and rewrites nothing. New URLs are told
+    by a set of seen ones that is dealt over buckets. ``folder`` keeps these tables: a crawl that died goes on with the
+    round that it was in when it is started again with the same folder. ``on_round`` is called after each round.
     """
     registry = registry or Registry.default()
-    base = F.lit(base_url)
+    base, rounds = F.lit(base_url), Rounds(spark, folder, name="crawl")
+    seen, turn = Seen(rounds, ["url"]), 0
 
     def keyed(df: DataFrame) -> DataFrame:
         made = df.withColumn("href", resolve("raw", base)).withColumn("link_type", link_type(F.col("href"), base))
@@ -82,36 +98,34 @@ def crawl(spark: SparkSession, base_url: str, sitemap: DataFrame, fetch: Callabl
 
     root = spark.range(1).select(base.alias("raw"), F.lit("Root").alias("source_type"), base.alias("source_url"))
     listed = sitemap.select(F.col("url").alias("raw"), F.lit("Sitemap").alias("source_type"), F.col("url").alias("source_url"))
-    found = cut_lineage(keyed(root.unionByName(listed)))
-    edges, parsed = found, None
-    while max_rounds is None or max_rounds > 0:
-        nodes = edges.filter("url IS NOT NULL").groupBy("url").agg(F.min_by("link_type", F.when(F.col("link_type") == "Internal", 0).otherwise(1)).alias("link_type"))
-        frontier = nodes.filter("link_type = 'Internal'").select("url")
-        if parsed is not None:
-            frontier = frontier.join(parsed.select("url"), "url", "left_anti")
-        frontier = cut_lineage(frontier)
+    edges = rounds.add("edges", 0, lambda: keyed(root.unionByName(listed)))
+    while max_rounds is None or turn < max_rounds:
+        frontier = seen.fresh(turn, edges.filter("url IS NOT NULL AND link_type = 'Internal'").select("url"))
         if frontier.isEmpty():
             break
-        fresh = cut_lineage(parse_pages(fetch(frontier)))
-        parsed = fresh if parsed is None else cut_lineage(parsed.unionByName(fresh))
-        out = page_links(fresh.filter("NOT error")).select(F.col("href").alias("raw"), F.col("raw").alias("text"), F.lit("Link").alias("source_type"), F.col("url").alias("source_url"))
+        pages = rounds.add("pages", turn, lambda: parse_pages(fetch(frontier)))  # noqa: B023
+        results = rounds.add("results", turn, lambda: registry.analyze(pages.filter("NOT error").withColumn("site", base)).select("url", "rule_id", "passed"))  # noqa: B023
+        out = page_links(pages.filter("NOT error")).select(F.col("href").alias("raw"), F.lit("Link").alias("source_type"), F.col("url").alias("source_url"))
         if strict and not out.filter("raw IS NULL").isEmpty():
             raise ValueError("a page has a link that is no URL")
-        more = keyed(out.drop("text"))
-        edges = cut_lineage(edges.unionByName(more))
-        max_rounds = None if max_rounds is None else max_rounds - 1
-    if parsed is None:
-        parsed = parse_pages(fetch(edges.filter("url IS NOT NULL").select("url").limit(0)))
-    links = edges.filter("url IS NOT NULL").select("url", "source_type", "source_url").distinct()
-    nodes = edges.filter("url IS NOT NULL").groupBy("url").agg(F.min_by("link_type", F.when(F.col("link_type") == "Internal", 0).otherwise(1)).alias("link_type"))
-    failed = parsed.select("url", "error")
-    nodes = nodes.join(failed, "url", "left").select(base.alias("site"), "url", "link_type", F.coalesce("error", F.lit(False)).alias("error"))
+        turn += 1
+        edges = rounds.add("edges", turn, lambda: keyed(out))  # noqa: B023
+        if on_round:
+            on_round(Round(turn - 1, edges.filter("url IS NOT NULL").groupBy("url").agg(F.min("link_type").alias("link_type")), pages, results))
+    every = rounds.all("edges")
+    if "pages" in rounds.schemas:
+        parsed, results = rounds.all("pages").drop("round"), rounds.all("results").drop("round")
+    else:
+        parsed = parse_pages(fetch(every.filter("url IS NOT NULL").select("url").limit(0)))
+        results = registry.analyze(parsed.filter("NOT error").withColumn("site", base)).select("url", "rule_id", "passed")
+    links = every.filter("url IS NOT NULL").select("url", "source_type", "source_url").distinct()
+    nodes = every.filter("url IS NOT NULL").groupBy("url").agg(F.min("link_type").alias("link_type"))  # a URL has one type
+    nodes = nodes.join(parsed.select("url", "error"), "url", "left").select(base.alias("site"), "url", "link_type", F.coalesce("error", F.lit(False)).alias("error"))
     pages = parsed.filter("NOT error").withColumn("site", base)
-    results = registry.analyze(pages).select("url", "rule_id", "passed")
     site_results = registry.analyze_site(nodes, links, pages)
     # Only after the site rules were judged, what they name is led to from the root.
     named = site_results.filter("kind = 'Urls' AND url IS NOT NULL").select("url", F.lit("Link").alias("source_type"), base.alias("source_url"))
-    return Crawl(nodes, links.unionByName(named).distinct(), results, site_results, edges.filter("url IS NULL").select("source_type", "source_url"))
+    return Crawl(nodes, links.unionByName(named).distinct(), results, site_results, every.filter("url IS NULL").select("source_type", "source_url"), rounds)
 
 
 def snapshot_fetch(pages: DataFrame) -> Callable[[DataFrame], DataFrame]:

@@ -16,10 +16,11 @@ from siteweave.functions.html import parse_pages
 from siteweave.functions.selectors import IDENTIFIER, all_elements, attribute, first_element
 from siteweave.functions.urls import clean_url, host, path, root, with_scheme
 from siteweave.operators import reports
-from siteweave.operators.graph import cut_lineage, page_links, reachable
+from siteweave.operators.graph import crawl, cut_lineage, page_links, reachable, snapshot_fetch
 from siteweave.operators.rules import Registry, RuleConfig
 from siteweave.operators.site_rules import orphans, uniqueness
 from siteweave.operators.store import ResultStore, append_keyed, site_rule_rows, upsert
+from siteweave.sources.sitemap import expand
 from siteweave.streaming import events as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -388,6 +389,67 @@ def _progress(spark, sf):
     return pages(spark, sf).select(F.col("page_id").alias("node")).join(done, "node", "left").agg(F.count("*").alias("total_pages"), F.count("done").alias("completed_pages"))
 
 
+#: The pages as one site: page k links to two others besides its own links, and the French ones are in the sitemap.
+MOUNT = "https://crawl.example"
+_MOUNTED = f"""
+n AS (SELECT count(*) AS n FROM pages), doc AS (SELECT page_id, '{MOUNT}/p/' || page_id AS url FROM pages),
+hrefs AS (
+  SELECT page_id, '{MOUNT}' || replace(replace(url_encode(raw), '%2F', '/'), '%2C', ',') AS href FROM ({HREFS})
+  UNION ALL SELECT page_id, '{MOUNT}/p/' || (2 * page_id + 1) % n FROM pages, n UNION ALL SELECT page_id, '{MOUNT}/p/' || (6 * page_id + 3) % n FROM pages, n
+), listed AS (SELECT page_id FROM pages WHERE contains(url, '/fr/')),
+seen(page_id) AS (
+  SELECT page_id FROM (SELECT 0::BIGINT AS page_id UNION SELECT page_id FROM listed)
+  UNION SELECT doc.page_id FROM seen JOIN hrefs USING (page_id) JOIN doc ON doc.url = href
+), found AS (
+  SELECT '{MOUNT}/p/0' AS url, 'Root' AS kind, '{MOUNT}/p/0' AS source UNION SELECT '{MOUNT}/p/' || page_id, 'Sitemap', '{MOUNT}/p/' || page_id FROM listed
+  UNION SELECT href, 'Link', '{MOUNT}/p/' || page_id FROM seen JOIN hrefs USING (page_id)
+)"""
+
+
+def mounted(spark: SparkSession, sf: str) -> DataFrame:
+    own = pages(spark, sf)
+    n = F.lit(own.count())
+    link = lambda k, tail: F.concat(F.lit('<a href="/p/'), (k % n).cast("string"), F.lit(f'{tail}">more</a>'))
+    k = F.col("page_id")
+    return own.select("page_id", F.concat(F.lit(f"{MOUNT}/p/"), k.cast("string")).alias("url"), F.concat("html", link(2 * k + 1, ""), link(6 * k + 3, "?again#part")).alias("html"))
+
+
+@query("crawl_snapshot", f"WITH RECURSIVE {_MOUNTED} SELECT url, 'Internal' AS link_type, url NOT IN (SELECT url FROM doc) AS error, count(*) + (count_if(kind <> 'Sitemap') = 0)::INTEGER AS n_sources FROM found GROUP BY 1")
+def _crawl_snapshot(spark, sf):
+    """A whole crawl, round by round. A page that only the sitemap has gets a link from the root at the end."""
+    listed = pages(spark, sf).filter(F.contains("url", F.lit("/fr/"))).select(F.concat(F.lit(f"{MOUNT}/p/"), F.col("page_id").cast("string")).alias("url"))
+    got = crawl(spark, f"{MOUNT}/p/0", listed, snapshot_fetch(mounted(spark, sf)))
+    return got.nodes.join(got.found_in(), "url").select("url", "link_type", "error", F.size("found_in").cast("long").alias("n_sources"))
+
+
+#: Sitemaps of the pages: an index k has indexes 8k + 1 to 8k + 8 below it, every fifth names the first again; each index
+#: has a list with one page, of which some are broken.
+_MAPS = "https://maps.example"
+
+
+def sitemap_files(spark: SparkSession, sf: str) -> DataFrame:
+    """(site, url, body) of every sitemap file."""
+    own = pages(spark, sf)
+    n, k = own.count(), F.col("page_id")
+    loc = lambda url, tag="sitemap": F.concat(F.lit(f"<{tag}><loc>"), url, F.lit(f"</loc></{tag}>"))
+    at = lambda kind, i: F.concat(F.lit(f"{_MAPS}/{kind}/"), i.cast("string"), F.lit(".xml"))
+    below = F.array_join(F.transform(F.filter(F.sequence(8 * k + 1, 8 * k + 8), lambda c: c < n), lambda c: loc(at("map", c))), "")
+    index = F.concat(F.lit("<?xml version='1.0'?><sitemapindex xmlns='urn:maps'>"), below, loc(at("list", k)), F.when(k % 5 == 0, loc(at("map", F.lit(0)))).otherwise(""), F.lit("</sitemapindex>"))
+    url = F.replace(F.col("url"), F.lit("&"), F.lit("&amp;"))
+    body = F.when(k % 3 == 0, F.concat(F.lit("<i:urlset xmlns:i='urn:i'><i:url><i:loc>"), url, F.lit("</i:loc></i:url></i:urlset>"))).otherwise(F.concat(F.lit("<urlset>"), loc(url, "url"), F.lit("</urlset>")))
+    listed = F.when(k % 7 == 3, F.replace(body, F.lit("urlset>"), F.lit("urlset"))).when(k % 7 == 4, F.concat(body, F.lit("junk"))).otherwise(body)
+    both = F.array(F.struct(at("map", k).alias("url"), index.alias("body")), F.struct(at("list", k).alias("url"), listed.alias("body")))
+    return own.select(F.lit(_MAPS).alias("site"), F.explode(both).alias("f")).select("site", "f.*")
+
+
+@query("sitemap_locations", f"WITH RECURSIVE seen(k) AS (SELECT 0::BIGINT UNION SELECT page_id FROM seen JOIN pages ON page_id BETWEEN 8 * k + 1 AND 8 * k + 8) SELECT '{_MAPS}/list/' || k || '.xml' AS url FROM seen UNION SELECT '{_MAPS}/map/' || k || '.xml' FROM seen UNION SELECT url FROM seen JOIN pages ON page_id = k WHERE page_id % 7 NOT IN (3, 4)")
+def _sitemap_locations(spark, sf):
+    """All that a tree of sitemaps lists, with cycles in it and files that are broken."""
+    files = sitemap_files(spark, sf)
+    start = spark.range(1).select(F.lit(_MAPS).alias("site"), F.lit(f"{_MAPS}/map/0.xml").alias("url"))
+    return expand(start, lambda wanted: wanted.join(files, ["site", "url"], "left")).select("url")
+
+
 @query("orphaned_pages", f"WITH {SYNTHETIC} SELECT page_id AS url FROM pages WHERE page_id NOT IN (SELECT dst FROM edges)")
 def _orphans(spark, sf):
     listed = pages(spark, sf).select(F.col("page_id").alias("url"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gzip
 import time
 import urllib.error
 import urllib.request
+import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -32,11 +34,13 @@ def fetch_one(url: str, timeout: float = TIMEOUT) -> dict:
         request = urllib.request.Request(url, headers={"User-Agent": AGENT})
         with urllib.request.build_opener(redirects).open(request, timeout=timeout) as r:
             body, length = r.read(), r.headers.get("Content-Length")
+            if body[:2] == b"\x1f\x8b":  # sitemaps may be compressed files
+                body = gzip.decompress(body)
             charset = r.headers.get_content_charset() or "utf-8"
             out |= {"html": body.decode(charset, "replace"), "content_length": int(length) if length and length.isdigit() else None, "elapsed_ms": (time.monotonic() - began) * 1000, "status_code": redirects.last or r.status, "error": False}
     except urllib.error.HTTPError as e:
         out["status_code"] = e.code
-    except (OSError, ValueError, LookupError):
+    except (OSError, ValueError, LookupError, EOFError, zlib.error):
         pass
     return out
 

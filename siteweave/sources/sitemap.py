@@ -2,33 +2,37 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from xml.etree import ElementTree
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from siteweave.functions.html import parse_pages
 from siteweave.functions.urls import resolve
+from siteweave.operators.rounds import Rounds, Seen
 
 #: Where sitemaps are looked for if a site names none: fixed values.
 WELL_KNOWN = ["/sitemap.xml", "/sitemap_index.xml", "/sitemap-index.xml", "/sitemap/sitemap.xml"]
 
 
-def locations(xml: str | None) -> list[str]:
-    """Texts of all loc elements of any namespace; none of malformed XML."""
-    try:
-        return [e.text or "" for e in ElementTree.fromstring(xml or "").iter() if isinstance(e.tag, str) and e.tag.rpartition("}")[2] == "loc"]
-    except (ElementTree.ParseError, ValueError):
-        return []
+#: Stands around a body to see that it is one element and nothing else.
+_GUARD = "siteweave-guard"
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def loc_urls(bodies: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for batch in bodies:
-        yield batch.map(locations)
+def loc_urls(body: Column) -> Column:
+    """The texts that begin loc elements of any namespace, in order; none of malformed XML, null of null.
+
+    A body with a document type declaration counts as malformed: its entities are never looked up. The body is read
+    twice in the JVM: ``from_xml`` says whether it is well-formed, so that ``xpath`` cannot fail on it.
+    """
+    bare = F.regexp_replace(body, r"\A\x{FEFF}?(?:<\?xml[ \t\r\n][^>]*\?>)?", "")
+    wrapped = F.concat(F.lit(f"<{_GUARD}>"), bare, F.lit(f"</{_GUARD}>"))
+    faults = F.from_xml(wrapped, "_corrupt_record string", {"mode": "PERMISSIVE"})["_corrupt_record"]
+    whole = F.xpath_boolean(wrapped, F.lit(f"count(/{_GUARD}/*) = 1 and not(/{_GUARD}/text()[normalize-space()])"))
+    texts = F.xpath(wrapped, F.lit("//*[local-name()='loc']/node()[1][self::text()]"))
+    sound = ~bare.contains(_GUARD) & faults.isNull()
+    none = F.array().cast("array<string>")
+    return F.when(body.isNull(), None).when(sound, F.when(whole, texts).otherwise(none)).otherwise(none)
 
 
 def is_index(body: Column) -> Column:
@@ -57,15 +61,19 @@ def bodies(fetch: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], Dat
     return run
 
 
-def expand(start: DataFrame, fetch: Callable[[DataFrame], DataFrame], *, cut: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def expand(start: DataFrame, fetch: Callable[[DataFrame], DataFrame], *, rounds: Rounds | None = None) -> DataFrame:
     """(site, url): all locations reached from the sitemaps ``start`` (site, url), children of an index included.
 
-    ``fetch`` maps (site, url) to (site, url, body). A sitemap is read once, so cyclic indexes end. ``cut`` cuts lineage.
+    ``fetch`` maps (site, url) to (site, url, body). A sitemap is read once, so cyclic indexes end; bodies that are missing
+    or malformed list nothing. Each round writes what is new in it, and nothing else.
     """
-    frontier, seen, found = cut(start.select("site", "url").distinct()), None, None
-    while not frontier.isEmpty():
-        seen = frontier if seen is None else cut(seen.unionByName(frontier))
-        read = cut(fetch(frontier).select("site", is_index(F.col("body")).alias("index"), F.explode(loc_urls("body")).alias("url")))
-        found = read.select("site", "url") if found is None else found.unionByName(read.select("site", "url"))
-        frontier = cut(read.filter("index").select("site", "url").distinct().join(seen, ["site", "url"], "left_anti"))
-    return start.limit(0) if found is None else found.distinct()
+    rounds = rounds or Rounds(start.sparkSession, name="sitemaps")
+    seen, turn, wanted = Seen(rounds, ["site", "url"]), 0, start
+    while True:
+        frontier = seen.fresh(turn, wanted)
+        if frontier.isEmpty():
+            break
+        read = rounds.add("listed", turn, lambda: fetch(frontier).select("site", is_index(F.col("body")).alias("index"), F.explode(loc_urls(F.col("body"))).alias("url")))  # noqa: B023
+        wanted = read.filter("index").select("site", "url")
+        turn += 1
+    return start.select("site", "url").limit(0) if not turn else rounds.all("listed").select("site", "url").distinct()

@@ -1,15 +1,18 @@
+import gzip
 import http.server
 import threading
 
+import pytest
 from pyspark.sql import functions as F
 
 from siteweave.functions.urls import resolve_one
 from siteweave.operators.graph import crawl, cut_lineage, reachable, snapshot_fetch
+from siteweave.operators.rounds import Rounds
 from siteweave.operators.store import ResultStore
 from siteweave.sources.fetch import http_fetch
 from siteweave.sources.lighthouse import metrics
 from siteweave.sources.settings import SettingsStore
-from siteweave.sources.sitemap import candidates, expand, locations
+from siteweave.sources.sitemap import candidates, expand, loc_urls
 
 
 def page(*links):
@@ -67,25 +70,82 @@ def test_reachable_on_a_cycle(spark):
     assert {(r.node, r.round) for r in reachable(edges, spark.createDataFrame([(0,)], "node long")).collect()} == {(0, 0), (1, 1), (2, 2)}
 
 
-def test_sitemap(spark):
-    assert locations("<a><b") == [] and locations("<u xmlns:i='x'><url><i:loc> y</i:loc></url></u>") == [" y"]
-    docs = {"s": "<sitemapindex><loc>t</loc><loc>s</loc></sitemapindex>", "t": "<urlset><loc>p</loc></urlset>"}
+BODIES = {
+    "<a><b>": [], "<u xmlns:i='x'><url><i:loc> y</i:loc></url></u>": [" y"], "<urlset><loc>p</loc></urlset>": ["p"], "": [], "not xml": [], "<urlset/>trailing": [], "<urlset/><b/>": [], "<a>&nope;</a>": [],
+    "<a>&amp;<loc>x&amp;y</loc><loc><![CDATA[c&d]]></loc></a>": ["x&y", "c&d"], "<?xml version='1.0'?>\n<a><loc>z</loc></a><!-- ok -->\n": ["z"], "<a b=c><loc>1</loc></a>": [], "<loc>x</loc>": ["x"], "\ufeff<a><loc>bom</loc></a>": ["bom"],
+    "<!DOCTYPE a [<!ENTITY e 'q'>]><a><loc>&e;</loc></a>": [], "<a><loc>x<b>y</b>z</loc><loc><b/>n</loc></a>": ["x"], "<a><loc/><loc></loc></a>": [], "<a>\x01<loc>c</loc></a>": [], "<a><loc>1</loc><!-- -- --></a>": [],
+    "<a/></siteweave-guard><siteweave-guard>": [], "<a><siteweave-guard><loc>1</loc></siteweave-guard></a>": [], " \n<?xml version='1.0'?><a/>": [], "<a><loc>1</loc></a>&": [], "<a><loc>1</loc></a></b>": [],
+}
+
+
+def test_locations(spark):
+    rows = spark.createDataFrame([(i, b) for i, b in enumerate([*BODIES, None])], "i int, body string")
+    got = {r.i: r.urls for r in rows.select("i", loc_urls(F.col("body")).alias("urls")).collect()}
+    assert {b: got[i] for i, b in enumerate(BODIES)} == BODIES and got[len(BODIES)] is None
+
+
+def test_sitemap(spark, tmp_path):
+    docs = {"s": "<sitemapindex><loc>t</loc><loc>s</loc><loc>gone</loc><loc>broken</loc></sitemapindex>", "t": "<urlset><loc>p</loc></urlset>", "broken": "<sitemapindex><loc>never</loc>"}
     table = spark.createDataFrame([("h", k, v) for k, v in docs.items()], "site string, url string, body string")
-    out = expand(table.filter("url = 's'"), lambda f: f.join(table, ["site", "url"], "left"), cut=cut_lineage)
-    assert {r.url for r in out.collect()} == {"s", "t", "p"}
+    rounds = Rounds(spark, str(tmp_path / "maps"))
+    out = expand(table.filter("url = 's'"), lambda f: f.join(table, ["site", "url"], "left"), rounds=rounds)
+    assert {r.url for r in out.collect()} == {"s", "t", "p", "gone", "broken"}
+    assert rounds.all("seen").groupBy("url").count().filter("count > 1").isEmpty()
     sites = spark.createDataFrame([("https://h.example/", None), ("https://g.example/", "/m.xml")], "site string, sitemap string")
     assert candidates(sites).count() == 5
+    assert expand(table.limit(0), lambda f: f.join(table, ["site", "url"], "left")).isEmpty()
+
+
+def chain(spark, n, width):
+    """A site whose pages stand in rows of ``width``, each linking to the next row's."""
+    rows = [(f"https://c.example/{i}", "x" * 500 + "".join(f"<a href='/{j}'>n</a>" for j in range((i // width + 1) * width, (i // width + 2) * width) if j < n)) for i in range(n)]
+    return snapshot_fetch(spark.createDataFrame(rows, "url string, html string"))
+
+
+def test_bytes_grow_with_pages_not_with_rounds(spark, tmp_path):
+    none, sizes = spark.createDataFrame([], "url string"), {}
+    for name, n, width in (("short", 8, 4), ("long", 8, 1)):
+        seeds = none if width == 1 else spark.createDataFrame([(f"https://c.example/{i}",) for i in range(width)], "url string")
+        found = crawl(spark, "https://c.example/0", seeds, chain(spark, n, width), folder=str(tmp_path / name))
+        assert found.nodes.count() == n
+        rounds = found.rounds
+        sizes[name] = {t: rounds.all(t).count() for t in ("pages", "seen", "results")}
+        assert len(rounds.files.names(f"{rounds.folder}/pages")) == n // width
+    assert sizes["short"] == sizes["long"]  # a page is written once, in whichever round
+
+
+def test_a_crawl_goes_on_where_it_died(spark, tmp_path):
+    none, asked = spark.createDataFrame([], "url string"), []
+    fetch = chain(spark, 5, 1)
+
+    def failing(limit):
+        def run(urls):
+            asked.append([r.url for r in urls.collect()])
+            if len([a for a in asked if a]) > limit:
+                raise RuntimeError("lost")
+            return fetch(urls)
+
+        return run
+
+    with pytest.raises(RuntimeError):
+        crawl(spark, "https://c.example/0", none, failing(2), folder=str(tmp_path / "c"))
+    turns = []
+    again = crawl(spark, "https://c.example/0", none, fetch, folder=str(tmp_path / "c"), on_round=lambda r: turns.append((r.number, r.pages.count())))
+    assert again.nodes.count() == 5 and turns == [(i, 1) for i in range(5)] and again.results.select("url").distinct().count() == 5
+    again.rounds.drop()
+    assert not (tmp_path / "c").exists()
 
 
 def test_fetch_and_settings(spark, tmp_path):
     class Handler(http.server.BaseHTTPRequestHandler):
         def do_GET(self):
+            body = {"/z": gzip.compress(b"zipped"), "/bad": gzip.compress(b"zipped" * 50)[:20]}.get(self.path, b"ok")
             self.send_response({"/r": 301, "/x": 404}.get(self.path, 200))
             if self.path == "/r":
                 self.send_header("Location", "/")
-            self.send_header("Content-Length", "2")
+            self.send_header("Content-Length", str(len(body)))
             self.end_headers()
-            self.wfile.write(b"ok")
+            self.wfile.write(body)
 
         def log_message(self, *args):
             pass
@@ -93,9 +153,10 @@ def test_fetch_and_settings(spark, tmp_path):
     server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
     threading.Thread(target=server.serve_forever, daemon=True).start()
     top = f"http://127.0.0.1:{server.server_port}"
-    rows = {r.url: r for r in http_fetch(concurrency=2)(spark.createDataFrame([(top + p,) for p in ("/", "/r", "/x")], "url string")).collect()}
+    rows = {r.url: r for r in http_fetch(concurrency=2)(spark.createDataFrame([(top + p,) for p in ("/", "/r", "/x", "/z", "/bad")], "url string")).collect()}
     server.shutdown()
     assert rows[top + "/"].html == "ok" and rows[top + "/r"].status_code == 301 and rows[top + "/x"].error
+    assert rows[top + "/z"].html == "zipped" and rows[top + "/bad"].error
     store = SettingsStore(str(tmp_path / "s.json"))
     assert store.get() is None and store.update(request_delay_ms=5).request_delay_ms == 5 and store.get().max_concurrent_requests == 10
     report = spark.createDataFrame([('{"categories":{"seo":{"score":0.5}},"audits":{"interactive":{"numericValue":3.5}}}',)], "json string")
