@@ -8,13 +8,13 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from siteweave.functions.urls import resolve_one
-from siteweave.operators.graph import Crawl, crawl
+from siteweave.operators.graph import Crawl, Round, crawl
 from siteweave.operators.rules import Registry
 from siteweave.operators.store import ResultStore
 from siteweave.sources.fetch import http_fetch
 from siteweave.sources.settings import CrawlSettings
 from siteweave.sources.sitemap import bodies, candidates, discover, expand
-from siteweave.streaming.events import crawl_events, run_event
+from siteweave.streaming.events import END, round_events, run_event, site_events
 
 
 @dataclass
@@ -43,8 +43,9 @@ def audit(spark: SparkSession, url: str, store: ResultStore, *, fetch: Callable[
 
     Without ``fetch``, pages come over HTTP, at most as many at once and as fast as ``settings`` allow. The run is Pending
     until the crawl begins, Running, then Finished once all is stored, or Error if anything fails. ``on_event`` is called
-    on the driver with AnalysisStart, SiteRunIdSet and AnalysisFinished; ``events`` is a folder to which all events of the
-    run are appended, those of single pages too, for ``streaming.events.read_events``.
+    on the driver with AnalysisStart, SiteRunIdSet, AnalyzedPages after each round, and AnalysisFinished; ``events`` is a
+    folder to which the events of single pages are appended round by round, so that a stream of ``read_events`` follows the
+    run, then those of site rules and, after everything is stored, its end. If the folder fails before, nothing is stored.
     """
     settings, registry, base = settings or CrawlSettings(), registry or Registry.default(), base_url(url)
     fetch = fetch or http_fetch(concurrency=settings.max_concurrent_requests, delay_ms=settings.request_delay_ms)
@@ -54,17 +55,22 @@ def audit(spark: SparkSession, url: str, store: ResultStore, *, fetch: Callable[
     store.seed_rules(registry.dimension(spark))
     run = store.create_run(base)
     tell({"kind": "SiteRunIdSet", "site_run_id": run})
+    keep = (lambda made: made.write.mode("append").parquet(events)) if events else (lambda made: None)
     try:
-        if events:
-            run_event(spark, run, "AnalysisStart", base, seq=-1).write.mode("append").parquet(events)
+        keep(run_event(spark, run, "AnalysisStart", base, seq=-1))
         store.set_status(run, "Running")
-        found = crawl(spark, base, sitemap_urls(spark, base, fetch), fetch, registry=registry, max_rounds=max_rounds)
-        store.save_crawl(run, found)
+
+        def told(done: Round) -> None:
+            keep(round_events(done, run))
+            tell({"kind": "AnalyzedPages", "site_run_id": run, "round": done.number})
+
+        found = crawl(spark, base, sitemap_urls(spark, base, fetch), fetch, registry=registry, max_rounds=max_rounds, on_round=told)
+        keep(site_events(found.site_results, run))
         total, done = found.progress().first()
-        if events:
-            crawl_events(found.nodes, found.results, run, total=total, completed=done).unionByName(run_event(spark, run, "AnalysisFinished", base, seq=2, total=total, completed=done)).write.mode("append").parquet(events)
+        store.save_crawl(run, found)
     except BaseException:
         store.set_status(run, "Error")
         raise
+    keep(run_event(spark, run, "AnalysisFinished", base, seq=END, total=total, completed=done))  # everything is stored by now
     tell({"kind": "AnalysisFinished", "site_run_id": run, "total_pages": total, "completed_pages": done})
     return Audit(run, found)

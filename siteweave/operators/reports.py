@@ -63,13 +63,40 @@ def pass_rate() -> Column:
     return F.when(F.col("total") > 0, F.col("passed") * 100.0 / F.col("total")).otherwise(F.lit(0.0))
 
 
+def last_runs(runs: DataFrame, depth: int) -> DataFrame:
+    return runs.orderBy(F.desc("created_at"), F.desc("id")).limit(depth).select(F.col("id").alias("site_run_id"), "created_at")
+
+
 def category_history(results: DataFrame, rules: DataFrame, runs: DataFrame, *, depth: int = HISTORY) -> DataFrame:
     """The last ``depth`` runs with their totals by category; a run without results stays, with a null category."""
-    last = runs.orderBy(F.desc("created_at"), F.desc("id")).limit(depth).select(F.col("id").alias("site_run_id"), "created_at")
+    last = last_runs(runs, depth)
     totals = category_result(results.join(F.broadcast(last.select("site_run_id")), "site_run_id"), rules, by=["site_run_id"])
     return last.join(totals, "site_run_id", "left")
 
 
+def kept_category_result(counts: DataFrame) -> DataFrame:
+    """Totals by run and category from what batches changed in them (the table category_count)."""
+    sums = counts.groupBy("site_run_id", "category").agg(*[F.sum(c).alias(c) for c in ("total", "passed", "failed")])
+    return sums.filter("total > 0")
+
+
+def kept_category_history(counts: DataFrame, runs: DataFrame, *, depth: int = HISTORY) -> DataFrame:
+    """Like ``category_history``, from what batches changed."""
+    last = last_runs(runs, depth)
+    return last.join(kept_category_result(counts.join(F.broadcast(last.select("site_run_id")), "site_run_id")), "site_run_id", "left")
+
+
+def kept_link_counts(counts: DataFrame) -> DataFrame:
+    """Links by run and type from what batches changed in them (the table link_count)."""
+    return counts.groupBy("site_run_id", "db_link_type").agg(F.sum("count").alias("count")).filter("count > 0")
+
+
+def run_progress(parts: DataFrame) -> DataFrame:
+    """(site_run_id, total_pages, completed_pages, started, finished, kind, url) from the parts of runs (run_progress)."""
+    last = lambda c: F.max_by(c, "last_seq").alias(c)
+    return parts.groupBy("site_run_id").agg(F.sum("total_pages").alias("total_pages"), F.sum("completed_pages").alias("completed_pages"), F.bool_or("started").alias("started"), F.bool_or("finished").alias("finished"), last("kind"), last("url"))
+
+
 def pass_rate_chart(history: DataFrame) -> DataFrame:
     return history.select("site_run_id", F.date_format("created_at", "M/d").alias("label"), "category", pass_rate().alias("pass_rate"))
 

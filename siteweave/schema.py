@@ -30,7 +30,17 @@ PLUGIN_RULE = (
     .add("rule_type", S).add("passed_message", S).add("failed_message", S).add("enabled", "boolean")
 )
 STORED_RULE = T.StructType([*PLUGIN_RULE.fields]).add("created_at", "timestamp").add("updated_at", "timestamp")
-TABLES = {"site": SITE, "site_run": SITE_RUN, "site_page": SITE_PAGE, "page_rule_result": PAGE_RULE_RESULT, "plugin_rule": STORED_RULE}
+#: What batches change in the reports of a run, and how far its parts are.
+CATEGORY_COUNT = T.StructType().add("site_run_id", "integer").add("category", S).add("batch", S).add("total", "long").add("passed", "long").add("failed", "long")
+LINK_COUNT = T.StructType().add("site_run_id", "integer").add("db_link_type", S).add("batch", S).add("count", "long")
+RUN_PROGRESS = (
+    T.StructType().add("site_run_id", "integer").add("part", "integer").add("total_pages", "long").add("completed_pages", "long").add("started", "boolean")
+    .add("finished", "boolean").add("last_seq", "long").add("kind", S).add("url", S)
+)
+TABLES = {
+    "site": SITE, "site_run": SITE_RUN, "site_page": SITE_PAGE, "page_rule_result": PAGE_RULE_RESULT, "plugin_rule": STORED_RULE,
+    "category_count": CATEGORY_COUNT, "link_count": LINK_COUNT, "run_progress": RUN_PROGRESS,
+}
 
 LINK_TYPES = ["Internal", "External", "Mailto", "Tel", "Unknown"]
 RUN_STATUSES = ["Pending", "Running", "Finished", "Error"]

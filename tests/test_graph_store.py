@@ -164,14 +164,6 @@ def test_fetch_and_settings(spark, tmp_path):
     assert (row.seo_score, row.time_to_interactive, row.pwa_score) == (50.0, 3.5, 0.0)
 
 
-def test_a_dead_write_keeps_its_number(spark, tmp_path):
-    store = ResultStore(spark, str(tmp_path / "store"))
-    store.migrate()
-    (tmp_path / "store" / "site" / "v00000001").mkdir()  # without _SUCCESS
-    assert store.create_run("https://s.example/") == 1 and store.upsert_site("https://t.example/") == 2
-    assert store.read("site").count() == 2
-
-
 def test_a_crawl_without_pages(spark):
     none = spark.createDataFrame([], "url string")
     pages = spark.createDataFrame([("https://s.example/", page("/a"))], "url string, html string")
