@@ -170,14 +170,22 @@ def parse(page: str | None) -> dict | None:
     return parser.result()
 
 
-def parse_pages(pages: DataFrame, *, html: str = "html") -> DataFrame:
-    """``pages`` with the struct column ``p``. HTML is parsed once; everything else reads the struct."""
+def parse_pages(pages: DataFrame, *, html: str = "html", fields: list[str] | None = None) -> DataFrame:
+    """``pages`` with the struct column ``p``. HTML is parsed once; everything else reads the struct.
+
+    Who reads only some of the fields names them in ``fields``: no others are built into rows.
+    """
     kept = pages.drop("p")
-    at, kind = kept.columns.index(html), to_arrow_type(PARSED)
+    shape = PARSED if fields is None else T.StructType([PARSED[f] for f in fields])
+    at, kind = kept.columns.index(html), to_arrow_type(shape)
+
+    def own(page: str | None) -> dict | None:
+        found = parse(page)
+        return found if found is None or fields is None else {f: found[f] for f in fields}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parsed = pa.array([parse(h) for h in batch.column(at).to_pylist()], kind)
+            parsed = pa.array([own(h) for h in batch.column(at).to_pylist()], kind)
             yield pa.RecordBatch.from_arrays([*batch.columns, parsed], [*batch.schema.names, "p"])
 
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField("p", PARSED)]))
+    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField("p", shape)]))

@@ -72,6 +72,17 @@ def resolve(link: pd.Series, base: pd.Series) -> pd.Series:
     return pd.Series([resolve_one(a, b) for a, b in zip(link, base, strict=True)], dtype=object)
 
 
+#: Links from the root, and bases, whose URL is put together from them as they are.
+_PLAIN_LINK = r"^(?!.*//)(?!.*/\.)/[A-Za-z0-9/_.~-]*$"
+_PLAIN_BASE = r"^(https?://(?:[a-z0-9-]+\.)+[a-z]{2,})(?:[/?#].*)?$"
+
+
+def resolved(link: Column, base: Column) -> Column:
+    """Like ``resolve``; plain links are put together in the JVM, and Python gets the others only."""
+    plain = F.coalesce(link.rlike(_PLAIN_LINK) & base.rlike(_PLAIN_BASE), F.lit(False))
+    return F.when(plain, F.concat(F.regexp_extract(base, _PLAIN_BASE, 1), link)).otherwise(resolve(F.when(~plain, link), base))
+
+
 @F.pandas_udf(T.StringType())
 def absolute(urls: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in urls:

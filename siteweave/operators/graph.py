@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siteweave.functions.html import parse_pages
-from siteweave.functions.urls import clean_url, link_type, resolve
+from siteweave.functions.urls import clean_url, link_type, resolve, resolved
 from siteweave.operators.rounds import Rounds, Seen, shared_folder
 from siteweave.operators.rules import Registry
 
@@ -20,11 +20,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def page_links(parsed: DataFrame) -> DataFrame:
-    """(url, at, href, path, link_type, error): links of each page in document order, resolved against the page."""
-    raw = parsed.select("url", F.posexplode("p.hrefs").alias("at", "raw"))
-    found = raw.withColumn("href", resolve("raw", "url"))
-    return found.select("url", "at", "raw", "href", F.try_parse_url("href", F.lit("PATH")).alias("path"), link_type(F.col("href"), F.col("url")).alias("link_type"), F.col("href").isNull().alias("error"))
+def page_links(parsed: DataFrame, *, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(url, at, raw, href, path, link_type, error): links of each page in document order, resolved against the page.
+
+    Columns of the page that are named in ``keep`` come first.
+    """
+    raw = parsed.select(*keep, "url", F.posexplode("p.hrefs").alias("at", "raw"))
+    found = raw.withColumn("href", resolved(F.col("raw"), F.col("url")))
+    return found.select(*keep, "url", "at", "raw", "href", F.try_parse_url("href", F.lit("PATH")).alias("path"), link_type(F.col("href"), F.col("url")).alias("link_type"), F.col("href").isNull().alias("error"))
 
 
 def reachable(edges: DataFrame, seeds: DataFrame, *, rounds: Rounds | None = None) -> DataFrame:

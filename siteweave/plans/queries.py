@@ -6,6 +6,7 @@ was made r days after 2025-01-01.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,11 +18,14 @@ from siteweave.functions.selectors import IDENTIFIER, all_elements, attribute, f
 from siteweave.functions.urls import clean_url, host, path, root, with_scheme
 from siteweave.operators import reports
 from siteweave.operators.graph import crawl, cut_lineage, page_links, reachable, snapshot_fetch
+from siteweave.operators.rounds import shared_folder
 from siteweave.operators.rules import Registry, RuleConfig
 from siteweave.operators.site_rules import orphans, uniqueness
-from siteweave.operators.store import ResultStore, append_keyed, site_rule_rows, upsert
+from siteweave.operators.store import ResultStore, append_keyed, broken_references, numbered, upsert
+from siteweave.sources.lighthouse import metrics
 from siteweave.sources.sitemap import expand
 from siteweave.streaming import events as streams
+from siteweave.streaming import progress
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -43,8 +47,8 @@ def pages(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/pages.parquet")
 
 
-def parsed(spark: SparkSession, sf: str) -> DataFrame:
-    return parse_pages(pages(spark, sf))
+def parsed(spark: SparkSession, sf: str, fields: list[str] | None = None) -> DataFrame:
+    return parse_pages(pages(spark, sf), fields=fields)
 
 
 def results(spark: SparkSession, sf: str) -> DataFrame:
@@ -118,12 +122,12 @@ def _url_parts(spark, sf):
 
 @query("extract_title", f"SELECT page_id, {TITLE} AS title, strlen({TITLE})::INTEGER AS n_bytes FROM pages")
 def _title(spark, sf):
-    return parsed(spark, sf).select("page_id", F.col("p.title").alias("title"), F.octet_length("p.title").alias("n_bytes"))
+    return parsed(spark, sf, ["title"]).select("page_id", F.col("p.title").alias("title"), F.octet_length("p.title").alias("n_bytes"))
 
 
 @query("extract_headings", "SELECT page_id, 'h1' AS tag, regexp_extract(html, '<h1>(.*?)</h1>', 1, 's') AS text FROM pages")
 def _headings(spark, sf):
-    return parsed(spark, sf).select("page_id", F.explode("p.headings").alias("h")).select("page_id", "h.*")
+    return parsed(spark, sf, ["headings"]).select("page_id", F.explode("p.headings").alias("h")).select("page_id", "h.*")
 
 
 HREFS = """SELECT page_id, url, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS raw, unnest(range(len(regexp_extract_all(html, '<a href="([^"]*)"', 1))))::INTEGER AS place FROM pages"""
@@ -132,24 +136,24 @@ RESOLVED = f"SELECT page_id, place, raw, regexp_extract(url, '^[a-z]+://[^/?#]+'
 
 @query("extract_links", f"SELECT page_id, place, raw, href, 'Internal' AS link_type, regexp_extract(href, '^[a-z]+://[^/?#]+([^?#]*)', 1) AS path FROM ({RESOLVED})")
 def _links(spark, sf):
-    keyed = parsed(spark, sf)
-    return page_links(keyed).join(pages(spark, sf).select("url", "page_id"), "url").select("page_id", F.col("at").alias("place"), "raw", "href", "link_type", "path")
+    links = page_links(parsed(spark, sf, ["hrefs"]), keep=("page_id",))
+    return links.select("page_id", F.col("at").alias("place"), "raw", "href", "link_type", "path")
 
 
 @query("link_graph_edges", f"SELECT {CLEAN} AS src, href AS dst, count(*) AS n FROM ({RESOLVED}) GROUP BY 1, 2")
 def _edges(spark, sf):
-    return page_links(parsed(spark, sf)).groupBy(clean_url(F.col("url")).alias("src"), clean_url(F.col("href")).alias("dst")).agg(F.count("*").alias("n"))
+    return page_links(parsed(spark, sf, ["hrefs"])).groupBy(clean_url(F.col("url")).alias("src"), clean_url(F.col("href")).alias("dst")).agg(F.count("*").alias("n"))
 
 
 @query("found_in_counts", f"SELECT href AS url, count(DISTINCT {CLEAN}) AS sources FROM ({RESOLVED}) GROUP BY 1")
 def _found_in(spark, sf):
-    return page_links(parsed(spark, sf)).groupBy(clean_url(F.col("href")).alias("url")).agg(F.countDistinct(clean_url(F.col("url"))).alias("sources"))
+    return page_links(parsed(spark, sf, ["hrefs"])).groupBy(clean_url(F.col("href")).alias("url")).agg(F.countDistinct(clean_url(F.col("url"))).alias("sources"))
 
 
 @query("link_graph_nodes", f"SELECT url, bool_or(listed) AS listed, bool_or(NOT listed) AS linked FROM (SELECT {CLEAN} AS url, true AS listed FROM pages UNION ALL SELECT href, false FROM ({RESOLVED})) GROUP BY 1")
 def _nodes(spark, sf):
     own = pages(spark, sf).select(clean_url(F.col("url")).alias("url"), F.lit(True).alias("listed"))
-    out = page_links(parsed(spark, sf)).select(clean_url(F.col("href")).alias("url"), F.lit(False).alias("listed"))
+    out = page_links(parsed(spark, sf, ["hrefs"])).select(clean_url(F.col("href")).alias("url"), F.lit(False).alias("listed"))
     return own.unionByName(out).groupBy("url").agg(F.bool_or("listed").alias("listed"), F.bool_or(~F.col("listed")).alias("linked"))
 
 
@@ -251,8 +255,8 @@ for _id, _sql in VARIED_SQL.items():
 
 @query("varied_link_types", f"""SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS raw FROM ({VARIED_PAGES})""".join(("SELECT page_id, CASE WHEN raw LIKE 'mailto:%' THEN 'Mailto' WHEN raw LIKE 'https://elsewhere%' THEN 'External' ELSE 'Internal' END AS link_type, count(*) AS n FROM (", ") GROUP BY ALL")))
 def _varied_links(spark, sf):
-    links = page_links(parse_pages(varied(spark, sf)))
-    return links.join(pages(spark, sf).select("url", "page_id"), "url").groupBy("page_id", "link_type").agg(F.count("*").alias("n"))
+    links = page_links(parse_pages(varied(spark, sf), fields=["hrefs"]), keep=("page_id",))
+    return links.groupBy("page_id", "link_type").agg(F.count("*").alias("n"))
 
 
 @query("varied_description_uniqueness", f"SELECT site, count(d) AS total, count(DISTINCT d) AS distinct_values, count(d) = 0 OR count(DISTINCT d) * 100.0::DOUBLE / count(d) >= 90 AS passed FROM (SELECT {HOST} AS site, nullif({DESCRIPTION}, '') AS d FROM ({VARIED_PAGES})) GROUP BY 1")
@@ -307,11 +311,6 @@ def _long(spark, sf):
     return results(spark, sf).select("page_id", "rule_id", "passed")
 
 
-@query("rules_dimension", f"{WITH} SELECT * FROM rules")
-def _dimension(spark, sf):
-    return rules(spark).drop("description", "enabled")
-
-
 @query("rule_config_subset", f"{WITH} SELECT page_id, rule_id, passed FROM long WHERE rule_id IN ('title.title_length', 'axe.link_name')")
 def _subset(spark, sf):
     config = RuleConfig()
@@ -365,7 +364,7 @@ def _issues_flat(spark, sf):
     columns = ["name", "severity", "category", "page_url"]
     found = reports.category_detail(results(spark, sf), rules(spark), False).select(*columns)
     nodes = pages(spark, sf).select(clean_url(F.col("url")).alias("url"), F.col("url").alias("page_url"))
-    lost = orphans(nodes, page_links(parsed(spark, sf)).select(clean_url(F.col("href")).alias("url"), F.lit("Link").alias("source_type")))
+    lost = orphans(nodes, page_links(parsed(spark, sf, ["hrefs"])).select(clean_url(F.col("href")).alias("url"), F.lit("Link").alias("source_type")))
     return reports.issues_flat(found, lost.select(F.lit("Orphaned pages").alias("name"), F.lit("Warning").alias("severity"), F.lit("SEO").alias("category"), "page_url"))
 
 
@@ -406,12 +405,12 @@ seen(page_id) AS (
 )"""
 
 
-def mounted(spark: SparkSession, sf: str) -> DataFrame:
-    own = pages(spark, sf)
+def mounted(spark: SparkSession, sf: str, own: DataFrame | None = None) -> DataFrame:
+    own = pages(spark, sf) if own is None else own
     n = F.lit(own.count())
     link = lambda k, tail: F.concat(F.lit('<a href="/p/'), (k % n).cast("string"), F.lit(f'{tail}">more</a>'))
     k = F.col("page_id")
-    return own.select("page_id", F.concat(F.lit(f"{MOUNT}/p/"), k.cast("string")).alias("url"), F.concat("html", link(2 * k + 1, ""), link(6 * k + 3, "?again#part")).alias("html"))
+    return own.withColumns({"url": F.concat(F.lit(f"{MOUNT}/p/"), k.cast("string")), "html": F.concat("html", link(2 * k + 1, ""), link(6 * k + 3, "?again#part"))})
 
 
 @query("crawl_snapshot", f"WITH RECURSIVE {_MOUNTED} SELECT url, 'Internal' AS link_type, url NOT IN (SELECT url FROM doc) AS error, count(*) + (count_if(kind <> 'Sitemap') = 0)::INTEGER AS n_sources FROM found GROUP BY 1")
@@ -459,17 +458,17 @@ def _orphans(spark, sf):
 @query("orphaned_pages_snapshot", f"SELECT DISTINCT {CLEAN} AS url FROM pages WHERE {CLEAN} NOT IN (SELECT href FROM ({RESOLVED}))")
 def _orphans_snapshot(spark, sf):
     nodes = pages(spark, sf).select(clean_url(F.col("url")).alias("url")).distinct()
-    return orphans(nodes, page_links(parsed(spark, sf)).select(clean_url(F.col("href")).alias("url"), F.lit("Link").alias("source_type")))
+    return orphans(nodes, page_links(parsed(spark, sf, ["hrefs"])).select(clean_url(F.col("href")).alias("url"), F.lit("Link").alias("source_type")))
 
 
 @query("description_uniqueness", f"SELECT {HOST} AS site, 0::BIGINT AS total, 0::BIGINT AS distinct_values, true AS passed FROM pages GROUP BY 1")
 def _descriptions(spark, sf):
-    return uniqueness(parsed(spark, sf).select(host(F.col("url")).alias("site"), F.col("p.description").alias("d")), "d")
+    return uniqueness(parsed(spark, sf, ["description"]).select(host(F.col("url")).alias("site"), F.col("p.description").alias("d")), "d")
 
 
 @query("title_uniqueness_by_site", f"SELECT site, count(t) AS total, count(DISTINCT t) AS distinct_values, count(DISTINCT t) * 100.0::DOUBLE / count(t) >= 90 AS passed FROM (SELECT {HOST} AS site, {TITLE} AS t FROM pages) GROUP BY 1")
 def _titles(spark, sf):
-    return uniqueness(parsed(spark, sf).select(host(F.col("url")).alias("site"), F.col("p.title").alias("t")), "t")
+    return uniqueness(parsed(spark, sf, ["title"]).select(host(F.col("url")).alias("site"), F.col("p.title").alias("t")), "t")
 
 
 @query("site_upsert", "WITH s AS (SELECT regexp_extract(url, '^[a-z]+://[^/?#]+') || '/' AS url, min(page_id % 2) AS odd FROM pages GROUP BY 1) SELECT row_number() OVER (ORDER BY odd, url)::INTEGER AS id, url FROM s")
@@ -498,29 +497,150 @@ def _result_upsert(spark, sf):
     return upsert(first.unionByName(again).drop("page_id"), ["site_run_id", "url", "rule_id"], "seq", last=True).drop("seq")
 
 
-@query("site_rule_rows", f"SELECT url, 'orphaned_page.check' AS rule_id, false AS passed FROM pages UNION ALL SELECT url, 'meta_description_uniqueness', true FROM pages")
+@query("site_rule_rows", f"""WITH {SYNTHETIC}, d AS (SELECT page_id, {HOST} AS site, nullif({DESCRIPTION}, '') AS d FROM ({VARIED_PAGES})), good AS (SELECT site FROM d GROUP BY 1 HAVING count(d) > 0 AND count(DISTINCT d) * 100.0 / count(d) >= 90)
+SELECT '{MOUNT}/p/' || page_id AS url, 'orphaned_page.check' AS rule_id, false AS passed FROM pages WHERE page_id NOT IN (SELECT dst FROM edges)
+UNION ALL SELECT '{MOUNT}/p/' || page_id, 'meta_description_uniqueness', true FROM d JOIN good USING (site) WHERE d IS NOT NULL""")
 def _site_rule_rows(spark, sf):
-    sites = pages(spark, sf).groupBy(host(F.col("url")).alias("site")).agg(F.collect_list("url").alias("list"))
-    none_map = F.lit(None).cast("map<string,array<string>>")
-    listed = sites.select(F.lit("orphaned_page.check").alias("rule_id"), F.lit(False).alias("passed"), F.lit("Urls").alias("kind"), F.col("list").alias("urls"), none_map.alias("values"))
-    keyed = sites.select(F.lit("meta_description_uniqueness").alias("rule_id"), F.lit(True).alias("passed"), F.lit("Values").alias("kind"), F.lit(None).cast("array<string>").alias("urls"), F.create_map("site", "list").alias("values"))
-    return site_rule_rows(listed.unionByName(keyed).unionByName(listed.withColumn("kind", F.lit("Empty"))))
+    """What the site rules say of the pages of each host; pages that they name have a row each."""
+    made = mounted(spark, sf, varied(spark, sf).withColumn("site", host(F.col("url"))))
+    read = parse_pages(made, fields=["description", "hrefs"])
+    edges = page_links(read).select(clean_url(F.col("href")).alias("url"), F.lit("Link").alias("source_type"))
+    return Registry.default().analyze_site(made.select("site", "url"), edges, read).filter("url IS NOT NULL").select("url", "rule_id", "passed")
+
 
+def page_store(spark: SparkSession, sf: str) -> ResultStore:
+    """A store of the pages: a site for each host, a run for each of its days (the page's number modulo 12) with its pages."""
+    store = ResultStore(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex[:12]}")
+    store.migrate()
+    store.seed_rules(rules(spark))
+    own = pages(spark, sf).select("page_id", "url", root(F.col("url")).alias("site"), (F.col("page_id") % RUNS).cast("int").alias("day"))
+    sites = numbered(own.select(F.col("site").alias("url")).distinct(), F.col("url"))
+    store.add({"site": sites.select("id", F.lit("").alias("name"), "url", F.current_timestamp().alias("created_at"))})
+    days = own.join(store.read("site").select(F.col("id").alias("site_id"), F.col("url").alias("site")), "site").groupBy("site_id", "day").agg(F.min("page_id").alias("first"))
+    made = F.date_add(F.lit("2025-01-01").cast("date"), F.col("day")).cast("timestamp").alias("created_at")
+    status = F.when(F.col("first") % 2 == 0, "Finished").otherwise("Running").alias("status")
+    store.add({"site_run": numbered(days, F.struct("day", "site_id")).select("id", "site_id", made, status)})
+    return store
+
+
+STORED = f"""WITH s AS (SELECT row_number() OVER (ORDER BY url)::INTEGER AS id, url FROM (SELECT DISTINCT regexp_extract(url, '^[a-z]+://[^/?#]+') || '/' AS url FROM pages)),
+r AS (SELECT row_number() OVER (ORDER BY day, site_id)::INTEGER AS id, site_id, DATE '2025-01-01' + day AS made, CASE WHEN first % 2 = 0 THEN 'Finished' ELSE 'Running' END AS status
+  FROM (SELECT s.id AS site_id, (page_id % {RUNS})::INTEGER AS day, min(page_id) AS first FROM pages p JOIN s ON s.url = regexp_extract(p.url, '^[a-z]+://[^/?#]+') || '/' GROUP BY ALL))"""
 
-@query("sites_with_runs", f"{WITH} SELECT s AS site_id, coalesce(id, -1) AS run_id, coalesce(strftime(max(made) OVER (PARTITION BY s), '%Y-%m-%d'), '1970-01-01') AS last_site_run_on FROM range(4) t(s) LEFT JOIN runs ON site_id = s ORDER BY last_site_run_on DESC")
+
+@query("sites_with_runs", f"{STORED} SELECT s.id AS site_id, r.id AS run_id, strftime(max(made) OVER (PARTITION BY s.id), '%Y-%m-%d') AS last_site_run_on FROM s LEFT JOIN r ON site_id = s.id")
 def _sites(spark, sf):
-    sites = spark.range(4).select(F.col("id"), F.lit("https://example.com/").alias("url"))
-    return reports.sites_with_runs(sites, runs(spark)).select("site_id", F.coalesce("run_id", F.lit(-1)).alias("run_id"), F.date_format("last_site_run_at", "yyyy-MM-dd").alias("last_site_run_on")).orderBy(F.desc("last_site_run_on"))
+    store = page_store(spark, sf)
+    return reports.sites_with_runs(store.read("site"), store.read("site_run")).select("site_id", "run_id", F.date_format("last_site_run_at", "yyyy-MM-dd").alias("last_site_run_on"))
 
 
-@query("site_runs", f"{WITH} SELECT id, site_id FROM runs WHERE site_id = 1")
+@query("site_runs", f"{STORED} SELECT id, site_id, status, strftime(made, '%Y-%m-%d') AS made_on FROM r WHERE site_id = (SELECT max(site_id) FROM r)")
 def _site_runs(spark, sf):
-    return reports.site_runs(runs(spark), 1).select("id", "site_id")
+    runs = page_store(spark, sf).read("site_run")
+    last = runs.agg(F.max("site_id")).first()[0]
+    return reports.site_runs(runs, last).select("id", "site_id", "status", F.date_format("created_at", "yyyy-MM-dd").alias("made_on"))
+
 
+@query("stored_by_id", f"{STORED} SELECT 'site' AS kind, id, url AS value FROM s WHERE id = (SELECT max(id) FROM s) UNION ALL SELECT 'run', id, status FROM r WHERE id = (SELECT max(id) FROM r)")
+def _by_id(spark, sf):
+    store = page_store(spark, sf)
+    last = lambda table: store.read(table).agg(F.max("id")).first()[0]
+    site, run = reports.by_id(store.read("site"), last("site")), reports.by_id(store.read("site_run"), last("site_run"))
+    return site.select(F.lit("site").alias("kind"), "id", F.col("url").alias("value")).unionByName(run.select(F.lit("run").alias("kind"), "id", F.col("status").alias("value")))
 
-@query("most_recent_run", f"{WITH} SELECT site_id, max(id) AS id FROM runs GROUP BY 1")
+
+@query("most_recent_run", f"{STORED} SELECT site_id, max(id) AS id FROM r GROUP BY 1")
 def _recent(spark, sf):
-    return reports.most_recent_run(runs(spark)).select("site_id", "id")
+    return reports.most_recent_run(page_store(spark, sf).read("site_run")).select("site_id", "id")
+
+
+@query("rules_dimension", f"{WITH} SELECT rules.*, coalesce(n, 0)::BIGINT AS n_failed FROM rules LEFT JOIN (SELECT rule_id AS id, count_if(NOT passed) AS n FROM long GROUP BY 1) USING (id)")
+def _dimension(spark, sf):
+    """The rules as the store has them, each with the number of pages that fail it."""
+    failed = results(spark, sf).groupBy(F.col("rule_id").alias("id")).agg(F.count_if(~F.col("passed")).alias("n_failed"))
+    stored = page_store(spark, sf).read("plugin_rule").drop("description", "enabled", "created_at", "updated_at")
+    return stored.join(failed, "id", "left").withColumn("n_failed", F.coalesce("n_failed", F.lit(0)))
+
+
+def _events_of(spark: SparkSession, sf: str) -> list[DataFrame]:
+    """The pages' events in three batches: links and verdicts, of which every fifth page's are wrong; the right ones for
+    those; and a part of the first again."""
+    found = results(spark, sf)
+    nodes = page_types(spark, sf).select("url", F.col("db_link_type").alias("link_type"), "site_run_id")
+    link = nodes.select(F.lit(0).alias("seq"), "site_run_id", F.lit("FoundLink").alias("kind"), "url", "link_type", F.lit(None).alias("rule_id"), F.lit(None).alias("passed"))
+    again = F.col("page_id") % 5 == 0
+    verdict = lambda rows, seq: rows.select(F.lit(seq).alias("seq"), "site_run_id", F.lit("AnalyzedPage").alias("kind"), "url", F.lit(None).alias("link_type"), "rule_id", "passed")
+    first = verdict(found.withColumn("passed", F.when(again, ~F.col("passed")).otherwise(F.col("passed"))), 1)
+    typed = lambda rows: rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in streams.EVENT])
+    return [typed(link.unionByName(first)), typed(verdict(found.filter(again), 3)), typed(link)]
+
+
+def kept_store(spark: SparkSession, sf: str) -> ResultStore:
+    store = ResultStore(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex[:12]}")
+    store.migrate()
+    store.seed_rules(rules(spark))
+    for number, batch in enumerate(_events_of(spark, sf)):
+        streams.apply_batch(store, batch, number)
+    streams.apply_batch(store, _events_of(spark, sf)[0], 0)  # a replay changes nothing
+    return store
+
+
+@query("incremental_category_result", f"{WITH} SELECT site_run_id, category, count(*) AS total, count_if(passed)::BIGINT AS passed, count_if(NOT passed)::BIGINT AS failed FROM long JOIN rules ON rule_id = id GROUP BY ALL")
+def _kept_category(spark, sf):
+    """Totals that batches of events have kept, with verdicts overwritten and batches replayed."""
+    return reports.kept_category_result(kept_store(spark, sf).read("category_count"))
+
+
+@query("incremental_link_counts", f"SELECT site_run_id, db_link_type, count(*) AS count FROM (SELECT site_run_id, url, min(db_link_type) AS db_link_type FROM ({PAGE_TYPES}) GROUP BY ALL) GROUP BY ALL")
+def _kept_links(spark, sf):
+    return reports.kept_link_counts(kept_store(spark, sf).read("link_count"))
+
+
+@query("progress_stream", f"SELECT (page_id % {RUNS})::INTEGER AS site_run_id, count(DISTINCT CASE WHEN page_id % 3 <> 0 THEN {CLEAN} END) AS total_pages, count(DISTINCT CASE WHEN contains(html, '<title>') THEN {CLEAN} END) AS completed_pages FROM pages GROUP BY 1")
+def _progress_stream(spark, sf):
+    """Counters of runs, kept by a stream with state over the pages' events; half of the events come twice."""
+    folder = f"{shared_folder(spark)}/progress-{uuid.uuid4().hex[:12]}"
+    store = ResultStore(spark, f"{folder}/store")
+    store.migrate()
+    links = _events_of(spark, sf)[2]
+    done = pages(spark, sf).filter(F.contains("html", F.lit("<title>"))).select(F.lit(1).cast("long").alias("seq"), (F.col("page_id") % RUNS).cast("int").alias("site_run_id"), F.lit("AnalyzedPage").alias("kind"), clean_url(F.col("url")).alias("url"))
+    done = done.select(*[(F.col(f.name) if f.name in done.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in streams.EVENT])
+    for batch in (links, done.unionByName(links)):
+        batch.write.mode("append").parquet(f"{folder}/in")
+        progress.follow(streams.read_events(spark, f"{folder}/in"), store, f"{folder}/state").awaitTermination()
+    return reports.run_progress(store.read("run_progress")).select("site_run_id", "total_pages", "completed_pages")
+
+
+@query("broken_references", f"{STORED} SELECT page_id FROM pages p WHERE regexp_extract(p.url, '^[a-z]+://[^/?#]+') || '/' NOT IN (SELECT url FROM s WHERE id IN (SELECT site_id FROM r WHERE status = 'Finished'))")
+def _broken(spark, sf):
+    """Pages whose site has no finished run: rows without a parent among those sites."""
+    store = page_store(spark, sf)
+    finished = store.read("site_run").filter("status = 'Finished'").select(F.col("site_id").alias("id")).distinct()
+    sites = store.read("site").join(finished, "id", "left_semi").select(F.col("url").alias("id"))
+    return broken_references(pages(spark, sf).select("page_id", root(F.col("url")).alias("site")), "site", sites).select("page_id")
+
+
+@query("ring_of_site", "SELECT (page_id % 12)::INTEGER AS site_run_id, round(count_if(contains(html, '<img')) * 100.0 / count(*))::INTEGER AS percent, CASE WHEN count_if(contains(html, '<img')) * 1.0 / count(*) < 0.5 THEN 'low' WHEN count_if(contains(html, '<img')) * 1.0 / count(*) < 0.9 THEN 'middle' ELSE 'high' END AS band FROM pages GROUP BY 1")
+def _ring(spark, sf):
+    """How a ring shows the share of a run's pages with an image."""
+    share = pages(spark, sf).groupBy((F.col("page_id") % RUNS).cast("int").alias("site_run_id")).agg(F.count_if(F.contains("html", F.lit("<img"))).alias("n"), F.count("*").alias("total"))
+    return share.select("site_run_id", reports.percent_fill(F.col("n"), F.col("total")).alias("percent"), reports.colour_band(F.col("n") / F.col("total")).alias("band"))
+
+
+_SCORES = {"performance": 11, "accessibility": 7, "best-practices": 3, "seo": 101, "pwa": 2}
+
+
+@query("lighthouse_metrics", "SELECT page_id, " + ", ".join(f"CASE WHEN page_id % 10 IN (3, 7) OR page_id % {m} = 1 THEN 0 ELSE ((page_id % {m})::DOUBLE / {m}) * 100 END AS {c.replace('-', '_')}_score" for c, m in _SCORES.items()) + ", CASE WHEN page_id % 10 IN (3, 7) THEN 0 ELSE len(html)::DOUBLE END AS time_to_interactive, CASE WHEN page_id % 10 IN (3, 7) THEN 0 ELSE len(url) / 4.0::DOUBLE END AS cumulative_layout_shift, 0::DOUBLE AS speed_index FROM pages")
+def _lighthouse(spark, sf):
+    """Metrics of reports that are made from the pages: some lack a score, every tenth is null and every tenth no JSON."""
+    k = F.col("page_id")
+    score = lambda m: F.when(k % m != 1, F.struct(((k % m).cast("double") / m).alias("score")))
+    value = lambda x: F.struct(x.alias("numericValue"))
+    audits = F.struct(value(F.length("html").cast("double")).alias("interactive"), value(F.length("url") / F.lit(4.0)).alias("cumulative-layout-shift"), value(F.lit("none")).alias("speed-index"))
+    report = F.to_json(F.struct(F.struct(*[score(m).alias(c) for c, m in _SCORES.items()]).alias("categories"), audits.alias("audits")))
+    made = F.when(k % 10 == 3, F.lit(None)).when(k % 10 == 7, F.substring(report, 1, 40)).otherwise(report)
+    keep = [*[c.replace("-", "_") + "_score" for c in _SCORES], "time_to_interactive", "cumulative_layout_shift", "speed_index"]
+    return metrics(pages(spark, sf).select("page_id", made.alias("json"))).select("page_id", *keep)
 
 
 @query("link_counts", f"SELECT site_run_id, db_link_type, count(url) AS count FROM ({PAGE_TYPES}) GROUP BY ALL")
@@ -541,10 +661,7 @@ def _latest(spark, sf):
 
 @query("stream_upsert_equals_batch", f"{WITH} SELECT 1 AS site_run_id, url, rule_id, passed FROM long")
 def _stream(spark, sf):
-    cut_lineage(spark.range(1))  # names the shared folder
-    import uuid
-
-    top = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/events-{uuid.uuid4().hex[:12]}"
+    top = f"{shared_folder(spark)}/events-{uuid.uuid4().hex[:12]}"
     found = results(spark, sf)
     nodes = pages(spark, sf).select("url", F.lit("Internal").alias("link_type"))
     streams.crawl_events(nodes, found, 1).write.parquet(f"{top}/in")

@@ -11,11 +11,22 @@ AUDITS = ["first-contentful-paint", "speed-index", "largest-contentful-paint", "
 
 
 def _number(report: Column, where: str) -> Column:
-    return F.coalesce(F.get_json_object(report, where).try_cast("double"), F.lit(0.0))
+    return F.coalesce(F.try_variant_get(report, where, "double"), F.lit(0.0))
 
 
 def metrics(reports: DataFrame, *, column: str = "json") -> DataFrame:
-    """Category scores times 100 and numeric values of audits; 0 where a report lacks them."""
-    scores = [(_number(F.col(column), f"$.categories['{c}'].score") * 100).alias(c.replace("-", "_") + "_score") for c in CATEGORIES]
-    values = [_number(F.col(column), f"$.audits['{a}'].numericValue").alias("time_to_interactive" if a == "interactive" else a.replace("-", "_")) for a in AUDITS]
-    return reports.select(*[c for c in reports.columns if c != column], *scores, *values)
+    """Category scores times 100 and numeric values of audits; 0 where a report lacks them, or is null or no JSON.
+
+    A report is parsed once, into a variant that all metrics are taken from.
+    """
+    report = free_column("report", reports.columns)
+    held = reports.withColumn(report, F.try_parse_json(column))
+    scores = [(_number(F.col(report), f"$.categories['{c}'].score") * 100).alias(c.replace("-", "_") + "_score") for c in CATEGORIES]
+    values = [_number(F.col(report), f"$.audits['{a}'].numericValue").alias("time_to_interactive" if a == "interactive" else a.replace("-", "_")) for a in AUDITS]
+    return held.select(*[c for c in reports.columns if c != column], *scores, *values)
+
+
+def free_column(name: str, taken: list[str]) -> str:
+    while name in taken:
+        name = f"_{name}"
+    return name
