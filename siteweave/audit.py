@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -9,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from siteweave.functions.urls import resolve_one
 from siteweave.operators.graph import Crawl, Round, crawl
+from siteweave.operators.rounds import shared_folder
 from siteweave.operators.rules import Registry
 from siteweave.operators.store import ResultStore
 from siteweave.sources.fetch import http_fetch
@@ -48,7 +50,7 @@ def audit(spark: SparkSession, url: str, store: ResultStore, *, fetch: Callable[
     run, then those of site rules and, after everything is stored, its end. If the folder fails before, nothing is stored.
     """
     settings, registry, base = settings or CrawlSettings(), registry or Registry.default(), base_url(url)
-    fetch = fetch or http_fetch(concurrency=settings.max_concurrent_requests, delay_ms=settings.request_delay_ms)
+    fetch = fetch or http_fetch(concurrency=settings.max_concurrent_requests, delay_ms=settings.request_delay_ms, ledger=f"{shared_folder(spark)}/fetched-{uuid.uuid4().hex[:12]}")
     tell = on_event or (lambda event: None)
     tell({"kind": "AnalysisStart", "url": base})
     store.migrate()

@@ -7,9 +7,10 @@ was made r days after 2025-01-01.
 from __future__ import annotations
 
 import uuid
+from collections import Counter
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siteweave.functions.elements import node_table, with_elements
@@ -19,7 +20,8 @@ from siteweave.functions.urls import clean_url, host, path, root, with_scheme
 from siteweave.operators import reports
 from siteweave.operators.graph import crawl, cut_lineage, page_links, reachable, snapshot_fetch
 from siteweave.operators.rounds import shared_folder
-from siteweave.operators.rules import Registry, RuleConfig
+from siteweave.operators.rules import Registry, Rule, RuleConfig
+from siteweave.operators.site_plugins import AggregatePlugin, FoldPlugin
 from siteweave.operators.site_rules import orphans, uniqueness
 from siteweave.operators.store import ResultStore, append_keyed, broken_references, numbered, upsert
 from siteweave.sources.lighthouse import metrics
@@ -508,6 +510,55 @@ def _site_rule_rows(spark, sf):
     return Registry.default().analyze_site(made.select("site", "url"), edges, read).filter("url IS NOT NULL").select("url", "rule_id", "passed")
 
 
+class ImageShare(AggregatePlugin):
+    name, description = "Images of sites", "Half of a site's pages show an image"
+
+    def rules(self) -> list[Rule]:
+        return [Rule("site.image_share", "Images", self.name, "Info", "SEO", self.description, "Enough pages show images", "Few pages show images", rule_type="Site")]
+
+    def state(self) -> dict[str, Column]:
+        return {"total": F.count("*"), "shown": F.count_if(F.size("p.images") > 0)}
+
+    def finish(self) -> Column:
+        return F.col("shown") * 2 >= F.col("total")
+
+
+class TitleStart(FoldPlugin):
+    name, description = "Starts of titles", "No letter begins most of a site's titles"
+    columns = {"title": "p.title"}
+
+    def rules(self) -> list[Rule]:
+        return [Rule("site.title_start", "Titles", self.name, "Info", "SEO", self.description, "Titles begin differently", "Titles begin alike", rule_type="Site")]
+
+    def zero(self) -> Counter:
+        return Counter()
+
+    def update(self, state: Counter, page: dict) -> Counter:
+        state[(page["title"] or "")[:1]] += 1
+        return state
+
+    def merge(self, left: Counter, right: Counter) -> Counter:
+        return left + right
+
+    def finish(self, state: Counter) -> bool:
+        return max(state.values()) * 2 <= state.total()
+
+
+#: Sites of several hosts: by the first letter of the host.
+_LETTER = f"substr({HOST}, 1, 1)"
+
+
+@query("site_plugin_verdicts", f"SELECT {_LETTER} AS site, 'site.image_share' AS rule_id, count_if(contains(html, '<img')) * 2 >= count(*) AS passed FROM pages GROUP BY 1 UNION ALL SELECT site, 'site.title_start', max(n) * 2 <= sum(n) FROM (SELECT {_LETTER} AS site, substr({TITLE}, 1, 1) AS c, count(*) AS n FROM pages GROUP BY ALL) GROUP BY 1")
+def _site_plugins(spark, sf):
+    """Two own plugins over sites: one by aggregates, one by a state in Python."""
+    read = parsed(spark, sf, ["images", "title"]).withColumn("site", F.substring(host(F.col("url")), 1, 1))
+    none = spark.createDataFrame([], "url string, source_type string")
+    registry = Registry(RuleConfig({"site.image_share": True, "site.title_start": True}))
+    for plugin in (ImageShare(), TitleStart()):
+        registry.register_site(plugin)
+    return registry.analyze_site(read.select("site", "url"), none, read).select("site", "rule_id", "passed")
+
+
 def page_store(spark: SparkSession, sf: str) -> ResultStore:
     """A store of the pages: a site for each host, a run for each of its days (the page's number modulo 12) with its pages."""
     store = ResultStore(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex[:12]}")
