@@ -15,16 +15,19 @@ from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siteweave.llm.common import materialize
+from siteweave.llm.common import materialize, partitions
 from siteweave.llm.vectors import answer, clean_vectors, matrix, objects, seekers
 
 TABLES, HASHES, WIDTH, PROBES = 10, 6, 1.5, 56
 SEED = 20
 #: Queries whose best candidates a task holds before it passes them on.
 HELD = 1 << 14
+#: Objects of a block where queries are compared with all of them.
+ALL = 4096
 
 
 def probes(place: np.ndarray, count: int) -> np.ndarray:
@@ -160,20 +163,25 @@ def nearest(table: DataFrame, k: int, *, is_query: Column, key: str = "vec_id",
 
 
 def _against_all(few: DataFrame, members: DataFrame, rerank, width: int, kind: str) -> DataFrame:
-    """(q, c, score): packed blocks of the few queries meet packed blocks of all objects."""
+    """(q, c, score): packed blocks of the few queries meet packed blocks of all objects, which are dealt over the tasks.
 
-    def packed(names: list[str]):
+    The queries' blocks are copied to each of them.
+    """
+    parts = partitions(few)
+
+    def packed(names: list[str], to: list[int] | None):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                if len(batch):
-                    ids, m = matrix(batch, width)
-                    yield _grouped(0, np.zeros(len(ids), np.int64), np.arange(len(ids)), ids, m.astype(kind), names)
+                for at in range(0, len(batch), ALL):
+                    ids, m = matrix(batch.slice(at, ALL), width)
+                    for part in [TaskContext.get().partitionId()] if to is None else to:
+                        yield _grouped(0, np.full(len(ids), part, np.int64), np.arange(len(ids)), ids, m.astype(kind), names)
 
         return run
 
-    ask = few.select("id", "v").mapInArrow(packed(["t", "bucket", "qids", "qm"]), "t int, bucket long, qids binary, qm binary")
-    have = members.select("id", "v").mapInArrow(packed(["t", "bucket", "cids", "cm"]), "t int, bucket long, cids binary, cm binary")
-    return ask.join(have, ["t", "bucket"]).select("qids", "qm", "cids", "cm").mapInArrow(rerank, "q long, c long, score double")
+    ask = few.select("id", "v").mapInArrow(packed(["t", "part", "qids", "qm"], list(range(parts))), "t int, part long, qids binary, qm binary").drop("t")
+    have = members.select("id", "v").repartition(parts).mapInArrow(packed(["t", "part", "cids", "cm"], None), "t int, part long, cids binary, cm binary").drop("t")
+    return ask.hint("merge").join(have, "part").select("qids", "qm", "cids", "cm").mapInArrow(rerank, "q long, c long, score double")
 
 
 def op6_ann(spark, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siteweave.llm.common import bucket_of
+from siteweave.llm.common import bucket_of, discard, materialize, top_counts
 
 #: Size of the hashed vectors.
 DIMENSIONS = 1 << 12
@@ -124,15 +124,22 @@ def _floors(heads: list[str], vectors: np.ndarray, made: np.ndarray, idf: np.nda
 def fit(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", training: Column | None = None, sample: int = SAMPLE, centroids: int = CENTROIDS) -> Model | None:
     """Fits centroids on an equal share of labelled rows for each language; None if there is no labelled row.
 
-    The share is ``sample`` over the number of languages, but at least one row. ``training`` restricts the rows to
-    learn from. Rows are drawn by a hash of their key. Only their vectors, of fixed size, and the first characters of
-    their texts reach the driver.
+    The share is ``sample`` over the number of languages, but at least one row. If there are more labels than ``sample``,
+    as in a dirty column, the most frequent ones are learned, that many at most; labels of the frequency at which the
+    limit falls are all left out, unless there are none above it. ``training`` restricts the rows to learn from. Rows are drawn by a hash of their
+    key. Only their vectors, of fixed size, and the first characters of their texts reach the driver.
     """
     rows = docs.filter(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
     rows = rows.filter(training) if training is not None else rows
-    sizes = {r[0]: r[1] for r in rows.groupBy(lang).count().collect()}
+    labels = materialize(rows.groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n")), "langid-labels")
+    kept = labels if labels.count() <= sample else top_counts(labels, "n", sample)
+    sizes = {r[0]: r[1] for r in kept.collect()}
+    if not sizes and not labels.isEmpty():  # all have one frequency: the first by name
+        sizes = {r[0]: r[1] for r in labels.orderBy(F.desc("n"), "lang").limit(sample).collect()}
+    discard(labels)
     if not sizes:
         return None
+    rows = rows.filter(F.col(lang).isin(list(sizes))) if len(sizes) <= 1000 else rows.join(F.broadcast(docs.sparkSession.createDataFrame([(k,) for k in sizes], "lang string")).withColumnRenamed("lang", lang), lang, "left_semi")
     share = max(1, sample // len(sizes))
     draw = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(7)), F.lit(1 << 30))
     # as many draws as give every language its share but for a chance of about one in a hundred million

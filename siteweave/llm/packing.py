@@ -104,7 +104,8 @@ def pack(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length: in
     the end id), ``sequence_id``, ``offset`` (in the sequence) and ``sequence_tokens`` (filled part of the sequence);
     with ``with_ids`` also the piece's ``ids``, packed. A null text is empty: its document is the end id alone.
     Rows that repeat a key stay documents of their own; null keys come first; an empty table gives no row. Sequence ids
-    are unique, not consecutive: the range's number and the sequence's within it. Other columns are not read.
+    are unique, not consecutive: the range's number and the sequence's within it. Other columns are not read. The program
+    runs over ``SEGMENT`` ids at a time: a stream is cut there, and a longer document is packed in as many parts.
     """
     path = path or vocabulary_path()
 

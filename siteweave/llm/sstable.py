@@ -264,4 +264,5 @@ def lookup(manifest: DataFrame, keys: DataFrame, *, key: str = "doc_id") -> Data
 
 
 def op10_sstable(spark, sf_dir: str) -> DataFrame:
+    """Ids of all documents, written to sorted-string tables and read back: doc_id, start, n_tokens, ids_crc32."""
     return read_tables(write_tables(spark.read.parquet(f"{sf_dir}/documents.parquet"), scratch(spark, "id-files")))

@@ -510,7 +510,6 @@ def test_foreign_texts_are_rejected(spark):
 
 def test_crowds_of_similar_texts(spark, monkeypatch):
     monkeypatch.setattr(simhash, "CROWD", 2)
-    monkeypatch.setattr(simhash, "LEADERS", 1, raising=False)
     rng = np.random.default_rng(12)
     base = [f"w{x}" for x in rng.integers(0, 100000, 178)]
     rows = []
