@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from siteweave.llm import alignment, ann, bpe, decontamination, langid, packing, sharding, simhash, sstable, suffixdedup, whitening
+from siteweave.llm import alignment, ann, bpe, common, decontamination, langid, packing, sharding, simhash, sstable, suffixdedup, whitening
 from siteweave.llm.common import scratch
 from siteweave.llm.ids import ids_for, vocabulary_path
 
@@ -58,7 +58,7 @@ def test_searches_by_text(odd, single):
     for table in (odd, single):
         n = table.count()
         assert simhash.near_duplicates(table).count() == suffixdedup.deduplicate(table).count() == sharding.assign_shards(table, 1000).count() == alignment.align(table).count() == n
-    same = {r.component_id for r in simhash.near_duplicates(odd).filter("doc_id = 2").collect()}
+    same = {r.component for r in simhash.near_duplicates(odd).filter("doc_id = 2").collect()}
     assert same == {2}
     removed = {r.n_removed for r in suffixdedup.deduplicate(single).collect()}
     assert removed == {0}
@@ -119,6 +119,6 @@ def test_labels_without_bound(spark):
 
 
 def test_run_keeps_only_what_it_returns(spark, tmp_path):
-    before = set(corpus_pipeline.held())
+    before = set(common._written)
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
-    assert not out.isEmpty() and set(corpus_pipeline.held()) - before == {out.scratch_path}
+    assert not out.isEmpty() and set(common._written) - before == {out.scratch_path}
