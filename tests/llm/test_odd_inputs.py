@@ -97,7 +97,7 @@ def test_languages_by_plain_counting(spark):
         held = Counter()
         for i in range(len(raw) - 2):
             for size in (3, 2, 1):
-                gram = int.from_bytes(raw[i : i + size], "big") | (0, 0, 2, 1)[size] << 24 if size < 3 else int.from_bytes(raw[i : i + 3], "big")
+                gram = int.from_bytes(raw[i : i + size], "big") | ((2, 1, 0)[size - 1] << 24)
                 held[(gram * 2654435761 % (1 << 32)) >> 20] += 1
         weighed = {k: math.log1p(n) * float(model.idf[k]) for k, n in held.items()}
         norm = math.sqrt(sum(x * x for x in weighed.values()))
