@@ -28,7 +28,7 @@ _TOKEN = re.compile(
 _BLANKS, _STEP = re.compile(r"[ \t\n\r\f]*"), re.compile(r"[ \t\n\r\f]*([>+~])[ \t\n\r\f]*|[ \t\n\r\f]+")
 _NTH = re.compile(r"\s*(?:(?P<word>odd|even)|(?P<a>[+-]?\d*)n(?:\s*(?P<sign>[+-])\s*(?P<b>\d+))?|(?P<only>[+-]?\d+))\s*", re.I)
 #: What CSS takes as a name; a value outside quotes must be one.
-IDENTIFIER = r"^-?[A-Za-z_\x{80}-\x{10FFFF}][A-Za-z0-9_\x{80}-\x{10FFFF}-]*$"
+IDENTIFIER = r"^-?[A-Za-z_\x{80}-\x{10FFFF}][A-Za-z0-9_\x{80}-\x{10FFFF}-]*\z"
 
 
 class SelectorError(ValueError):

@@ -73,8 +73,8 @@ def resolve(link: pd.Series, base: pd.Series) -> pd.Series:
 
 
 #: Links from the root, and bases, whose URL is put together from them as they are.
-_PLAIN_LINK = r"^(?!.*//)(?!.*/\.)/[A-Za-z0-9/_.~-]*$"
-_PLAIN_BASE = r"^(https?://(?:[a-z0-9-]+\.)+[a-z]{2,})(?:[/?#].*)?$"
+_PLAIN_LINK = r"^(?!.*//)(?!.*/\.)/[A-Za-z0-9/_.~-]*\z"
+_PLAIN_BASE = r"^(https?://(?:[a-z0-9-]+\.)+[a-z]{2,})(?:[/?#].*)?\z"
 
 
 def resolved(link: Column, base: Column) -> Column:

@@ -68,7 +68,7 @@ class Rounds:
         rows = make()
         kept = rows.schema
         if by is not None:
-            rows = rows.withColumn("bucket", by).repartition("bucket")
+            rows = rows.withColumn("bucket", by).hint("rebalance", "bucket")
         if not self.files.exists(f"{path}/_SUCCESS"):
             writer = rows.write.mode("overwrite")
             (writer if by is None else writer.partitionBy("bucket")).parquet(path)

@@ -11,7 +11,8 @@ from __future__ import annotations
 
 import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -94,6 +95,17 @@ class ResultStore:
         self.spark, self.path, self.files = spark, path.rstrip("/"), Files(spark)
         self.ledger, self.migrations = Ledger(spark, self.path), migrations or MIGRATIONS
 
+    @classmethod
+    @contextmanager
+    def ephemeral(cls, spark: SparkSession, **given) -> Iterator[ResultStore]:
+        """A migrated store of its own in the shared folder, deleted at the end."""
+        store = cls(spark, f"{shared_folder(spark)}/ephemeral-{uuid.uuid4().hex[:12]}", **given)
+        try:
+            store.migrate()
+            yield store
+        finally:
+            store.files.delete(store.path)
+
     # migrations
 
     def up(self, steps: int | None = None) -> None:
@@ -172,7 +184,8 @@ class ResultStore:
 
     def _write(self, table: str, stored: DataFrame, by: str | None, name: str) -> dict[str, list[list]]:
         path = f"{self.path}/{table}/{name}"
-        stored.withColumn("p", F.lit(0) if by is None else F.col(f"`{by}`")).write.partitionBy("p").parquet(path)
+        # Spark deals partitions over tasks by their size: a large run over several, many small ones to one.
+        stored.withColumn("p", F.lit(0) if by is None else F.col(f"`{by}`")).hint("rebalance", "p").write.partitionBy("p").parquet(path)
         return {n[2:]: [[name, 0]] for n in self.files.names(path) if n.startswith("p=")}
 
     def add(self, tables: dict[str, DataFrame], *, batch: tuple[str, int] | None = None, alone: list[tuple[str, str]] | None = None, base: State | None = None) -> bool:

@@ -5,7 +5,8 @@ import threading
 import pytest
 from pyspark.sql import functions as F
 
-from siteweave.functions.urls import resolve_one
+from siteweave.functions.html import parse_pages
+from siteweave.functions.urls import resolve_one, resolved
 from siteweave.operators.graph import crawl, cut_lineage, reachable, snapshot_fetch
 from siteweave.operators.rounds import Rounds
 from siteweave.operators.store import ResultStore
@@ -28,6 +29,20 @@ def test_resolve():
     assert resolve_one(None, "http://h.example") is None
 
 
+def test_plain_links_resolve_alike(spark):
+    links = ["/a", "/a/b.html", "/", "//h.example/x", "/a//b", "/./a", "/a/../b", "/a/.", "/.well-known/x", "/a b", "/é", "/a?q", "/a#f", "a/b", "../x", "http://o.example/", "httpfoo", "mailto:a@b.c", "", None, "/a%20b", "/A_~-9.x", "\\a", "/a\n/b", "/a\n"]
+    bases = ["http://h.example/x/y?z#w", "https://h.example", "https://H.example/", "http://h.example:80/", "http://h.example:8080/a", "http://127.0.0.1/", "ftp://h.example/", "httpfoo/x", None, "http://u:p@h.example/", "http://h.example#f", "https://bücher.example/"]
+    rows = spark.createDataFrame([(a, b) for a in links for b in bases], "link string, base string")
+    for r in rows.select("link", "base", resolved(F.col("link"), F.col("base")).alias("href")).collect():
+        assert r.href == resolve_one(r.link, r.base), (r.link, r.base)
+
+
+def test_named_fields(spark):
+    pages = spark.createDataFrame([("u", "<title>t</title><a href=x>"), ("v", None)], "url string, html string")
+    found = parse_pages(pages, fields=["hrefs", "title"])
+    assert found.schema["p"].dataType.names == ["hrefs", "title"] and [r.p and tuple(r.p) for r in found.orderBy("url").collect()] == [(["x"], "t"), None]
+
+
 def test_crawl(spark):
     top = "https://s.example"
     html = {"/": page("/page1", "/page2?x=1", "mailto:a@b.c", "https://o.example/"), "/page1": page("/page5"), "/page2": page("/page1"), "/page5": page("/page6"), "/page6": page("/", "httpfoo/x"), "/page3": page()}

@@ -108,6 +108,16 @@ def test_a_batch_is_stored_once(spark, tmp_path):
     assert store.add({"site_page": rows}, batch=("q", 0)) and not store.add({"site_page": rows}, batch=("q", 0)) and store.add({"site_page": rows}, batch=("other", 0))
 
 
+def test_an_ephemeral_store(spark):
+    with ResultStore.ephemeral(spark) as one, ResultStore.ephemeral(spark) as other:
+        one.create_run("https://a.example/")
+        assert one.read("site_run").count() == 1 and other.read("site_run").isEmpty() and one.path != other.path
+    assert not one.files.exists(one.path) and not other.files.exists(other.path)
+    with pytest.raises(RuntimeError), ResultStore.ephemeral(spark) as failed:
+        raise RuntimeError("in the middle")
+    assert not failed.files.exists(failed.path)
+
+
 EXTRA = [
     *MIGRATIONS,
     Migration("page_language", add=(("site_page", Field("language", "language", "string", "en")),)),
