@@ -16,16 +16,16 @@ from pyspark.sql import functions as F
 from siteweave.functions.elements import node_table, with_elements
 from siteweave.functions.html import parse_pages
 from siteweave.functions.selectors import IDENTIFIER, all_elements, attribute, first_element
-from siteweave.functions.urls import clean_url, host, path, root, with_scheme
+from siteweave.functions.urls import absolute, clean_url, host, path, root, with_scheme
 from siteweave.operators import reports
 from siteweave.operators.graph import crawl, cut_lineage, page_links, reachable, snapshot_fetch
 from siteweave.operators.rounds import shared_folder
 from siteweave.operators.rules import Registry, Rule, RuleConfig
 from siteweave.operators.site_plugins import AggregatePlugin, FoldPlugin
-from siteweave.operators.site_rules import orphans, uniqueness
+from siteweave.operators.site_rules import orphans, uniqueness, unknown_rule
 from siteweave.operators.store import ResultStore, append_keyed, broken_references, numbered, upsert
 from siteweave.sources.lighthouse import metrics
-from siteweave.sources.sitemap import expand
+from siteweave.sources.sitemap import candidates, expand, is_index
 from siteweave.streaming import events as streams
 from siteweave.streaming import progress
 
@@ -662,6 +662,84 @@ def _progress_stream(spark, sf):
     return reports.run_progress(store.read("run_progress")).select("site_run_id", "total_pages", "completed_pages")
 
 
+@query("social_tags", "SELECT page_id, CASE WHEN page_id % 3 <> 0 THEN 'T' || page_id % 7 END AS og_title, CASE WHEN page_id % 3 = 1 THEN 'b' WHEN page_id % 3 = 2 THEN 'a' END AS og_type, CASE WHEN page_id % 2 = 0 THEN '@' || page_id % 5 END AS twitter_site, (page_id % 2 = 0)::INTEGER AS n_twitter FROM pages WHERE contains(html, '</head>')")
+def _social(spark, sf):
+    """Tags of the kinds og and twitter: prefixes may repeat, the last of equal names holds, and other attributes do not count."""
+    k = F.col("page_id")
+    meta = lambda name, value: F.concat(F.lit(f'<meta property="{name}" content="'), value, F.lit('">'))
+    og = F.concat(meta("og:title", F.concat(F.lit("T"), (k % 7).cast("string"))), meta("og:og:type", F.lit("a")), F.when(k % 3 == 1, meta("og:type", F.lit("b"))).otherwise(""))
+    twitter = F.when(k % 2 == 0, meta("twitter:site", F.concat(F.lit("@"), (k % 5).cast("string")))).otherwise('<meta name="twitter:card" content="x"><meta property="twitter:card">')
+    made = F.replace("html", F.lit("</head>"), F.concat(F.when(k % 3 != 0, og).otherwise(""), twitter, F.lit("</head>")))
+    read = parse_pages(pages(spark, sf).filter(F.contains("html", F.lit("</head>"))).withColumn("html", made), fields=["og_tags", "twitter_tags"])
+    tag = lambda tags, name: F.try_element_at(f"p.{tags}", F.lit(name))
+    return read.select("page_id", tag("og_tags", "title").alias("og_title"), tag("og_tags", "type").alias("og_type"), tag("twitter_tags", "site").alias("twitter_site"), F.size("p.twitter_tags").alias("n_twitter"))
+
+
+@query("typed_addresses", "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'https://' || regexp_replace(url, '^https?://', '') ELSE url END AS address FROM pages WHERE regexp_matches(url, '^https?://[^/]+/')")
+def _typed(spark, sf):
+    """What users type, with and without a scheme, as addresses."""
+    own = pages(spark, sf).filter(F.col("url").rlike("^https?://[^/]+/"))
+    typed = F.when(F.col("page_id") % 2 == 0, F.regexp_replace("url", "^https?://", "")).otherwise(F.col("url"))
+    return own.select("page_id", absolute(with_scheme(typed)).alias("address"))
+
+
+ROOT = "regexp_extract(url, '^[a-z]+://[^/?#]+') || '/'"
+
+
+@query("sitemap_candidates", f"WITH s AS (SELECT {ROOT} AS site, min(page_id) AS k FROM pages GROUP BY 1) SELECT site, site || 'own.xml' AS url FROM s WHERE k % 3 = 0 UNION ALL SELECT site, site || unnest(['sitemap.xml', 'sitemap_index.xml', 'sitemap-index.xml', 'sitemap/sitemap.xml']) FROM s WHERE k % 3 <> 0")
+def _candidates(spark, sf):
+    """Where the sitemaps of sites are looked for: what the site names, or else the usual places."""
+    sites = pages(spark, sf).groupBy(root(F.col("url")).alias("site")).agg(F.min("page_id").alias("k"))
+    return candidates(sites.select("site", F.when(F.col("k") % 3 == 0, "/own.xml").alias("sitemap")))
+
+
+@query("sitemap_kinds", f"SELECT '{_MAPS}/map/' || page_id || '.xml' AS url, true AS index FROM pages UNION ALL SELECT '{_MAPS}/list/' || page_id || '.xml', false FROM pages")
+def _sitemap_kinds(spark, sf):
+    return sitemap_files(spark, sf).select("url", is_index(F.col("body")).alias("index"))
+
+
+_REACHED = f"reached AS (SELECT DISTINCT p.page_id, '{MOUNT}/p/' || p.page_id AS url, p.html FROM seen JOIN pages p USING (page_id))"
+_LONE = f"lone AS (SELECT '{MOUNT}/p/' || page_id AS url FROM listed WHERE page_id <> 0 AND '{MOUNT}/p/' || page_id NOT IN (SELECT url FROM found WHERE kind = 'Link'))"
+
+
+@query("saved_crawl", f"WITH RECURSIVE {_MOUNTED}, {_REACHED}, {_LONE} SELECT url, unnest([{', '.join(f'{{rule_id: {chr(39)}{r}{chr(39)}, passed: {x}}}' for r, x in RULE_SQL.items())}], recursive := true) FROM reached UNION ALL SELECT url, 'orphaned_page.check', false FROM lone")
+def _saved_crawl(spark, sf):
+    """What a crawl leaves in the store: site rules' rows and pages' rows, in one commit."""
+    listed = pages(spark, sf).filter(F.contains("url", F.lit("/fr/"))).select(F.concat(F.lit(f"{MOUNT}/p/"), F.col("page_id").cast("string")).alias("url"))
+    store = ResultStore(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex[:12]}")
+    store.migrate()
+    run = store.create_run(f"{MOUNT}/p/0")
+    store.save_crawl(run, crawl(spark, f"{MOUNT}/p/0", listed, snapshot_fetch(mounted(spark, sf))))
+    return store.read("page_rule_result").select("url", "rule_id", "passed")
+
+
+@query("severity_overrides", f"{WITH} SELECT CASE rule_id WHEN 'title.title_length' THEN 'Critical' WHEN 'axe.link_name' THEN 'Info' ELSE severity END AS severity, count_if(NOT passed)::BIGINT AS failed FROM long JOIN rules ON rule_id = id GROUP BY 1")
+def _severities(spark, sf):
+    """Failures by severity, where a configuration has its own severities and the registry is told to use them."""
+    registry = Registry.default()
+    registry.use_severities = True
+    registry.config.set_severity("title.title_length", "Critical")
+    registry.config.set_severity("axe.link_name", "Info")
+    own = spark.createDataFrame([(r.id, r.severity) for r in registry._on(registry.rules())], "rule_id string, severity string")  # a row for each rule of the registry
+    found = registry.analyze(parsed(spark, sf)).join(F.broadcast(own), "rule_id")
+    return found.groupBy("severity").agg(F.count_if(~F.col("passed")).alias("failed"))
+
+
+@query("unknown_site_rule", f"SELECT DISTINCT {ROOT} AS site, 'no.such_rule' AS rule_id, false AS passed FROM pages")
+def _unknown(spark, sf):
+    return unknown_rule("no.such_rule", pages(spark, sf).select(root(F.col("url")).alias("site"))).select("site", "rule_id", "passed")
+
+
+@query("run_statuses", f"{STORED} SELECT status, count(*) AS runs FROM (SELECT CASE WHEN id = (SELECT max(id) FROM r) THEN 'Error' ELSE status END AS status FROM r UNION ALL SELECT 'Pending') GROUP BY 1")
+def _statuses(spark, sf):
+    """Runs by status after the last one has failed and a new one was made for its site."""
+    store = page_store(spark, sf)
+    last = store.read("site_run").orderBy(F.desc("id")).select("id", "site_id").first()
+    store.set_status(last.id, "Error")
+    store.create_run(reports.by_id(store.read("site"), last.site_id).first().url)
+    return store.read("site_run").groupBy("status").agg(F.count("*").alias("runs"))
+
+
 @query("broken_references", f"{STORED} SELECT page_id FROM pages p WHERE regexp_extract(p.url, '^[a-z]+://[^/?#]+') || '/' NOT IN (SELECT url FROM s WHERE id IN (SELECT site_id FROM r WHERE status = 'Finished'))")
 def _broken(spark, sf):
     """Pages whose site has no finished run: rows without a parent among those sites."""
