@@ -368,6 +368,9 @@ COLUMNS = {
     "op8_packing": "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint",
     "op9_suffixdedup": "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string",
     "op10_sstable": "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint",
+    "op11_whitening": "vec_id bigint, component int, n bigint, deviation bigint, whitened double, explained double, identity_error double",
+    "op12_decontamination": "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean",
+    "op13_alignment": "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups_sha256 string",
 }
 
 
@@ -379,7 +382,9 @@ def test_queries_keep_their_contracts(spark, name):
     kinds = dict(out.dtypes)
     assert {c: kinds.get(c) for c, _ in (x.split(" ") for x in COLUMNS[name].split(", "))} == dict(x.split(" ") for x in COLUMNS[name].split(", "))
     n = spark.read.parquet(f"{SF}/documents.parquet").count()
-    if name not in ("op1_topk", "op6_ann", "op8_packing"):
+    if name == "op11_whitening":
+        assert out.count() == 8 * out.select("vec_id").distinct().count()
+    elif name not in ("op1_topk", "op6_ann", "op8_packing"):
         assert out.select("doc_id").distinct().count() == out.count() == n
 
 

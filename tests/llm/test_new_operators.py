@@ -232,3 +232,17 @@ def test_cuts_at_spaces_change_nothing():
         x, y, _ = pair.encode(words)
         p, q, _ = pair.encode([text])
         assert sum(x, []) == p[0] and sum(y, []) == q[0], repr(text)
+
+
+def test_decontamination_by_sql(spark):
+    import duckdb
+
+    from siteweave.llm import registry
+
+    con = duckdb.connect()
+    for table in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '/root/testdata/sf0.001/{table}.parquet'")
+    columns = "doc_id, n_words, n_hit, n_items, items_sha256, contaminated"
+    want = con.execute(f"SELECT {columns} FROM ({registry.ORACLES['op12_decontamination']})").fetchall()
+    got = decontamination.op12_decontamination(spark, "/root/testdata/sf0.001").selectExpr(*columns.split(", ")).collect()
+    assert sorted(map(tuple, got)) == sorted(want) and any(r[5] for r in want) and not all(r[5] for r in want)
