@@ -146,17 +146,26 @@ def test_sharding(spark, docs, empty):
 
 def probability(model, before, word):
     """Of a word (None: the end) after another (None: at the beginning), from the model's packed tables."""
+    row_of = lambda w: model.seatings.filter(F.col("key") == int(hpylm._numbers([w]).view(np.int64)[0])).first()
     word = hpylm.END if word is None else word
-    ctx = hpylm.ENDINGS + model.frequent.index(before) if before in model.frequent else hpylm.ending(before or hpylm.END)
-    row = model.seatings.filter(F.col("key") == int(hpylm._numbers([word]).view(np.int64)[0])).first()
+    frequent = before in model.frequent
+    ctx = hpylm.ENDINGS + model.frequent.index(before) if frequent else hpylm.ending(before or hpylm.END)
+    row = row_of(word)
     if row is None:
-        return float(model.value(np.array([ctx]), np.zeros(1), np.zeros((1, hpylm.SAMPLES)), model.unknown[None])[0])
-    inner, middle = np.frombuffer(row.inner, hpylm.INNER), np.frombuffer(row.middle, hpylm.MIDDLE)
-    if (inner["ctx"] == ctx).any():
-        return float(inner["value"][inner["ctx"] == ctx][0])
-    above = middle["above"][middle["end"] == hpylm.ending(before or hpylm.END)]
-    own = above if len(above) else np.zeros((1, hpylm.SAMPLES))
-    return float(model.value(np.array([ctx]), np.zeros(1), own, np.frombuffer(row.p, "<f4")[None])[0])
+        own, p = np.zeros((1, hpylm.SAMPLES)), model.unknown[None]
+    else:
+        inner, middle = np.frombuffer(row.inner, hpylm.INNER), np.frombuffer(row.middle, hpylm.MIDDLE)
+        if (inner["ctx"] == ctx).any():
+            return float(inner["value"][inner["ctx"] == ctx][0])
+        above = middle["above"][middle["end"] == hpylm.ending(before or hpylm.END)]
+        own, p = above if len(above) else np.zeros((1, hpylm.SAMPLES)), np.frombuffer(row.p, "<f4")[None]
+    value = float(model.value(np.array([ctx]), np.zeros(1), own, p)[0])
+    last = row_of(before) if before and not frequent else None
+    if last is None:
+        return value
+    after, number = np.frombuffer(last.after, hpylm.AFTER), int(hpylm._numbers([word])[0])
+    met = after["value"][(after["high"] == number >> 32) & (after["low"] == number >> 16 & 0xFFFF)]
+    return 10**last.own * (value + (float(met[0]) if len(met) else 0))
 
 
 def test_tables_are_drawn_as_by_seating_one_by_one():
@@ -183,26 +192,43 @@ def test_tables_are_drawn_as_by_seating_one_by_one():
         assert large.mean() == pytest.approx(mean, rel=0.06) and large.std() == pytest.approx(np.sqrt((p * (number - mean) ** 2).sum()), rel=0.2)
 
 
-def test_language_model_beats_a_bigram(spark):
+def test_language_model_beats_kneser_ney(spark):
+    """Bigrams with one discount and continuation counts below, over all words before, and again with a level of endings."""
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").toPandas()
     held = np.array([zlib.crc32(str(i).encode()) % 7 == 2 for i in table.doc_id])
     texts = [hpylm.tokens((t or "").encode()) for t in table.text]
-    one, two, before = Counter(), Counter(), Counter()
+    two = Counter()
     for words, out in zip(texts, held, strict=True):
         if not out:
-            one.update(words)
             two.update(zip([hpylm.END, *words], words, strict=False))
-            before.update([hpylm.END, *words[:-1]])
-    n, v, count = sum(one.values()), len(one), 0
-    shares = np.array([0.2, 0.3, 0.4, 0.5])  # of the bigram, in the interpolation
-    total = np.zeros(4)
+    known = len({b for _, b in two})
+    levels = [two, Counter((hpylm.ending(a), b) for a, b in two)]
+    levels.append(Counter(b for _, b in levels[1]))
+    plain = Counter(b for _, b in two)
+
+    def summed(pairs):
+        n, kinds = Counter(), Counter()
+        for (a, _), c in pairs.items():
+            n[a] += c
+            kinds[a] += 1
+        return n, kinds
+
+    sums = [summed(x) for x in levels[:2]]
+
+    def backed(count, n, kinds, below, d=0.75):
+        return (max(count - d, 0) + d * kinds * below) / n if n else below
+
+    total, count = np.zeros(2), 0
     for words, out in zip(texts, held, strict=True):
         if out:
             for a, b in zip([hpylm.END, *words], words, strict=False):
-                total += np.log10(shares * (two[a, b] / before[a] if before[a] else 0) + (1 - shares) * (one[b] + 1) / (n + v + 1))
+                root = [backed(x[b], sum_, len(x), 1 / (known + 1)) for x, sum_ in ((plain, len(two)), (levels[2], len(levels[1])))]
+                e = hpylm.ending(a)
+                root[1] = backed(levels[1][e, b], sums[1][0][e], sums[1][1][e], root[1])
+                total += np.log10([backed(two[a, b], sums[0][0][a], sums[0][1][a], r) for r in root])
                 count += 1
     got = hpylm.op4_hpylm(spark, "/root/testdata/sf0.01").filter("held_out").toPandas()
-    assert got.n_tokens.sum() == count and got.score.sum() > total.max()
+    assert got.n_tokens.sum() == count and got.score.sum() > total.max() + 0.02 * count, (got.score.sum() / count, total / count)
 
 
 def test_language_model(spark, docs, empty):
@@ -220,9 +246,13 @@ def test_language_model(spark, docs, empty):
         assert r.base_score == pytest.approx(sum(np.log10((counts[w] + 1) / (n + v + 1)) for w in words))
         assert r.score < 0
     # after any word, known words and one unknown word have probabilities that sum to one
-    for before in (None, b"the", b"never-seen"):
+    rare = next(w for w in sorted(counts) if counts[w] == 1)
+    assert rare not in model.frequent
+    for before in (None, b"the", b"never-seen", rare):
         assert sum(probability(model, before, w) for w in [*counts, b"unknown"]) == pytest.approx(1, abs=1e-5)
-    words = [b"the", b"lazy", b"never-seen", b"dog"]
+    rows = [hpylm.tokens((r[1] or "").encode()) for r in train]
+    followed = dict(pair for words in rows for pair in zip(words, words[1:], strict=False))
+    words = [b"the", b"lazy", b"never-seen", b"dog", rare, b"the", *([rare, followed[rare]] if followed[rare] != hpylm.END else [rare])]
     asked = spark.createDataFrame([(b" ".join(words).decode(), 7)], "text string, rid int")
     want = sum(np.log10(probability(model, a, b)) for a, b in zip([None, *words], [*words, None], strict=True))
     assert hpylm.score(asked, model).first().score == pytest.approx(want, rel=1e-5)
