@@ -14,7 +14,7 @@ PARSED = (
     .add("generators", A(S)).add("scripts", A(S)).add("styles", A(S))
     .add("og_tags", T.MapType(S, S)).add("twitter_tags", T.MapType(S, S))
     .add("images", A(T.StructType().add("src", S).add("alt", S).add("srcset", S)))
-    .add("hrefs", A(S)).add("headings", A(T.StructType().add("tag", S).add("text", S)))
+    .add("hrefs", A(S)).add("headings", A(T.StructType().add("tag", S).add("text", S).add("source", S)))
     .add("anchors", A(NAMED)).add("buttons", A(NAMED))
     .add("fields", A(S)).add("label_for", A(S)).add("ids", A(S)).add("frames", A(S)).add("tabindexes", A(S))
     .add("roles", A(T.StructType().add("role", S).add("attrs", A(S))))

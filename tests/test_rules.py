@@ -3,7 +3,7 @@
 import pytest
 
 from siteweave.functions.html import parse, parse_pages
-from siteweave.operators.rules import Axe, Registry, RuleConfig
+from siteweave.operators.rules import Axe, Registry, RuleConfig, Title
 
 GOOD = """<!DOCTYPE html><html lang="en"><head><meta charset="utf-8"><title>Fine title</title><link rel="canonical" href="https://a.example/x">
 <meta name="description" content="About"><meta name="viewport" content="width=device-width"></head><body><img src="i" alt="" srcset="i 2x"><button>Go</button>
@@ -71,3 +71,18 @@ def test_registry(spark):
     with pytest.raises(ValueError):
         Registry().analyze(parse_pages(spark.createDataFrame([("u", "")], "url string, html string")))
     assert not RuleConfig().is_enabled("title.has_title")
+
+
+def test_source_of_titles_and_headings():
+    """What the SQL of titles and headings reads: the page's own characters, references as they are written."""
+    p = parse('<!DOCTYPE html>\n<title>A &am "B&quot; &amp</title>\n<p>x\r\n<h2 class="&lt;">b\n<i>&c</i>&amp;<h1>the&am</h1>\n<h3>end &lt')
+    assert (p["title"], p["title_source"]) == ('A &amp;am "B" &amp;', 'A &am "B&quot; &amp')
+    assert [(h["tag"], h["text"], h["source"]) for h in p["headings"]] == [("h1", "the&amp;am", "the&am"), ("h2", "b\n<i>&amp;c</i>&amp;", "b\n<i>&c</i>&amp;"), ("h3", "end &lt;", "end &lt")]
+
+
+@pytest.mark.parametrize(("source", "passed"), [(True, False), (False, True)])
+def test_title_length_of_references(spark, source, passed):
+    pages = spark.createDataFrame([("u", "<title>" + "&quot;" * 10 + "</title>")], "url string, html string")
+    registry = Registry.default(RuleConfig({"title.title_length": True}))
+    registry.register(Title(source=source))
+    assert registry.analyze(parse_pages(pages)).first().passed is passed
