@@ -9,7 +9,7 @@ NAMED = T.StructType().add("text", S).add("labelled", "boolean")
 
 PARSED = (
     T.StructType()
-    .add("title", S).add("description", S).add("keywords", S).add("robots", S).add("canonical", S).add("sitemap", S)
+    .add("title", S).add("title_source", S).add("description", S).add("keywords", S).add("robots", S).add("canonical", S).add("sitemap", S)
     .add("favicon", S).add("viewport", S).add("webmanifest", S).add("charset", S)
     .add("generators", A(S)).add("scripts", A(S)).add("styles", A(S))
     .add("og_tags", T.MapType(S, S)).add("twitter_tags", T.MapType(S, S))
