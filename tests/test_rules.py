@@ -1,7 +1,12 @@
 """One passing and one failing page for every rule, and the parser's odd cases."""
 
+import tracemalloc
+
+import pyarrow as pa
 import pytest
+from pyspark.sql import types as T
 
+from siteweave.functions import html
 from siteweave.functions.html import parse, parse_pages
 from siteweave.operators.rules import Axe, Registry, RuleConfig, Title
 
@@ -86,3 +91,28 @@ def test_title_length_of_references(spark, source, passed):
     registry = Registry.default(RuleConfig({"title.title_length": True}))
     registry.register(Title(source=source))
     assert registry.analyze(parse_pages(pages)).first().passed is passed
+
+
+def test_pages_are_parsed_a_bounded_part_at_a_time(monkeypatch):
+    """What a task holds does not grow with the pages of a batch; rows stay whole and in order."""
+
+    class Pages:
+        columns, schema = ["html"], T.StructType().add("html", "string")
+        drop = lambda self, *names: self
+        mapInArrow = lambda self, run, schema: run
+
+    def peak(held: int) -> tuple[int, list]:
+        monkeypatch.setattr(html, "HELD", held)
+        tracemalloc.start()
+        sizes = [(len(b), b.column("html").to_pylist(), [p and len(p["hrefs"]) for p in b.column("p").to_pylist()]) for b in parse_pages(Pages())(iter([batch]))]
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return most, sizes
+
+    texts = [None if k == 3 else "" if k == 4 else "<a href=x>y</a>" * (20_000 if k == 7 else 20) for k in range(1200)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["html"])
+    (one,), parts = peak(1 << 40)[1], peak(1 << 16)[1]
+    assert len(parts) > 20 and (1, [texts[7]], [20_000]) in parts
+    assert [sum(x, []) for x in list(zip(*parts, strict=True))[1:]] == [*one[1:]] and one[1] == texts
+    batch = batch.slice(8)
+    assert peak(1 << 16)[0] * 3 < peak(1 << 40)[0]
