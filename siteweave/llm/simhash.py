@@ -11,9 +11,10 @@ index entries exceed a bound is not joined: its fingerprints are linked through
 fingerprints share exactly if they differ in at most two bits. That way is exact too and its rows grow with the
 number of fingerprints, not with its square.
 
-``similar_texts`` links texts by the similarity of their shingle sets instead, exactly. A similarity of 0.8 puts texts
-too far apart for 64 bits, so the same principle is applied to the shingles themselves: similar sets differ in few
-members, so one of the first members of each set, in an order common to all, is shared (prefix filter). What meets there
+``similar_texts`` links texts by the similarity of their shingle sets, exactly. Fingerprints of these sets are linked in
+the same way first, and the links are verified on the texts. A similarity of 0.8 puts many texts too far apart for two of
+64 bits, so for those that are still in different components the same principle is applied to the shingles themselves:
+similar sets differ in few members, so one of the first members of each set, in an order common to all, is shared (prefix filter). What meets there
 is checked on fingerprints of ``SKETCH`` bits, whose differing bits never outnumber the members that differ, and what
 is left is verified on the texts. At each shingle one leader is compared with the others, round by round, so a crowd of
 copies costs rows in proportion to its size.
@@ -42,6 +43,15 @@ PARTITIONS = 3
 PAIRS = 4096
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes have; of none, 0."""
+    counts = np.zeros(BITS, np.int64)
+    for block in range(0, len(hashes), 1 << 16):  # a very long text stays in bounded memory
+        part = hashes[block : block + (1 << 16)].view(np.uint8).reshape(-1, 8)
+        counts += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: bytes, words: int = WORDS) -> int:
     """SimHash of a text's shingles of ``words`` words, repeats included. No word at all: 0.
 
@@ -56,11 +66,7 @@ def fingerprint(text: bytes, words: int = WORDS) -> int:
     k = min(words, len(tokens))
     digest = xxhash.xxh64_intdigest
     hashes = np.array([digest(line[a:b], 42) for a, b in zip(starts[: len(tokens) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)], dtype="<u8")
-    counts = np.zeros(BITS, np.int64)
-    for block in range(0, len(hashes), 1 << 16):  # a very long text stays in bounded memory
-        part = hashes[block : block + (1 << 16)].view(np.uint8).reshape(-1, 8)
-        counts += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
+    return majority(hashes)
 
 
 def fingerprints(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
@@ -487,8 +493,20 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts_of, words: int, simila
     return whole.mapInArrow(equal, "a long, b long")
 
 
-def _tied(met: DataFrame, classes: DataFrame, texts_of, count: int, words: int, similarity: float) -> DataFrame | None:
-    """(node, root) over all links between sets that reach the similarity; None if nothing meets.
+def _by_fingerprint(classes: DataFrame, texts_of, words: int, similarity: float) -> DataFrame:
+    """(a, b): links between sets whose fingerprints differ in ``TAU`` bits or fewer and that reach the similarity.
+
+    The sets of one fingerprint are compared with one of them, and this one with those of other fingerprints.
+    """
+    fps = materialize(classes.groupBy("fp").agg(F.min("id").alias("leader")), "similar-fingerprints")
+    x, y = (fps.select(F.col("fp").alias(n), F.col("leader").alias(f"leader_{n}")) for n in "ab")
+    across = links(fps).join(x, "a").join(y, "b").select(F.least("leader_a", "leader_b").alias("a"), F.greatest("leader_a", "leader_b").alias("b"))
+    same = classes.join(fps, "fp").filter("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b"))
+    return _verified(across.unionByName(same), classes, texts_of, words, similarity)
+
+
+def _tied(met: DataFrame, tied: DataFrame, classes: DataFrame, texts_of, count: int, words: int, similarity: float) -> DataFrame:
+    """(node, root) over all links between sets that reach the similarity; ``tied`` has those known before.
 
     In each round every shingle compares one leader with the other sets that it meets, and is done with that leader;
     sets that are in one component already need no comparison. Rounds go on while each at least halves the pairs that
@@ -507,15 +525,11 @@ def _tied(met: DataFrame, classes: DataFrame, texts_of, count: int, words: int,
         pairs = pairs.select(F.least("id", "id_b").alias("a"), F.greatest("id", "id_b").alias("b")).distinct()
         return _verified(pairs, classes, texts_of, words, similarity)
 
-    tied, before = None, None
+    before = None
     while True:
-        if tied is None:
-            rows = met.withColumn("root", F.col("id"))
-            groups = rows.select("token", "root", F.lit(1).cast("long").alias("c"), F.struct("pos", "id").alias("h"))
-        else:
-            rows = met.join(tied.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-            rows = materialize(rows.select("token", "id", "size", "pos", "root"), "similar-rows")
-            groups = rows.groupBy("token", "root").agg(F.count("*").alias("c"), F.min(F.struct("pos", "id")).alias("h"))
+        rows = met.join(tied.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        rows = materialize(rows.select("token", "id", "size", "pos", "root"), "similar-rows")
+        groups = rows.groupBy("token", "root").agg(F.count("*").alias("c"), F.min(F.struct("pos", "id")).alias("h"))
         # the leader is of the smallest component at the shingle, where it meets most that it is not linked with; the
         # earlier the shingle comes in its set, the fewer of the others do the bounds exclude
         tokens = groups.groupBy("token").agg(F.count("*").alias("roots"), F.sum("c").alias("n"), F.sum(F.col("c").cast("double") * F.col("c")).alias("squares"), F.min(F.struct("c", "h.pos", "h.id")).alias("h")).filter("roots > 1")
@@ -532,7 +546,7 @@ def _tied(met: DataFrame, classes: DataFrame, texts_of, count: int, words: int,
             leaders = open_.filter("id = leader").drop("leader")
             met = open_.filter("id <> leader").select("token", "id", "size", "pos")
             found = links_of(leaders, open_.drop("leader"), F.col("root") != F.col("root_b"))
-        tied = components(found if tied is None else found.unionByName(tied.select(F.col("root").alias("a"), F.col("node").alias("b")).filter("a <> b")))
+        tied = components(found.unionByName(tied.select(F.col("root").alias("a"), F.col("node").alias("b")).filter("a <> b")))
         if last:
             return tied
         before = left
@@ -552,21 +566,22 @@ def similar_texts(docs: DataFrame, *, key: str = "doc_id", text: str = "text", w
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, sizes, bits = [], [], []
+            ids, sizes, bits, fps = [], [], [], []
             for x in batch.column(1):
                 tokens = x.as_buffer().to_pybytes().lower().split()
                 members = _shingles(tokens, words)
                 ids.append(_name(tokens))
                 sizes.append(len(members))
                 bits.append(sketch(members))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(bits, pa.binary())], ["key", "id", "size", "sketch"])
+                fps.append(majority(members))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(bits, pa.binary()), pa.array(np.array(fps, np.uint64).view(np.int64))], ["key", "id", "size", "sketch", "fp"])
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:  # rows may share a key, not a text
         for batch in batches:
             yield batch.filter(pa.array([text_name(b.as_buffer().to_pybytes()) == i for i, b in zip(batch.column(0).to_pylist(), batch.column(1), strict=True)], pa.bool_()))
 
-    marks = materialize(given.mapInArrow(mark, f"key {kind}, id long, size int, sketch binary"), "similar-marks")
-    classes = materialize(marks.groupBy("id").agg(F.min("key").alias("least"), F.first("size").alias("size"), F.first("sketch").alias("sketch")), "similar-classes")
+    marks = materialize(given.mapInArrow(mark, f"key {kind}, id long, size int, sketch binary, fp long"), "similar-marks")
+    classes = materialize(marks.groupBy("id").agg(F.min("key").alias("least"), F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("fp").alias("fp")), "similar-classes")
     count = classes.count()
 
     def texts_of(ids: DataFrame) -> DataFrame:
@@ -575,9 +590,7 @@ def similar_texts(docs: DataFrame, *, key: str = "doc_id", text: str = "text", w
         return materialize(texts, "similar-texts")
 
     met = _meetings(given, _common(given, count, words), words, similarity)
-    tied = _tied(met, classes, texts_of, count, words, similarity)
-    if tied is None:
-        tied = classes.select(F.col("id").alias("node"), F.col("id").alias("root")).limit(0)
+    tied = _tied(met, components(_by_fingerprint(classes, texts_of, words, similarity)), classes, texts_of, count, words, similarity)
     named = classes.select("id", "least").join(tied.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     smallest = named.groupBy("root").agg(F.min("least").alias("component"))
     return marks.select("key", "id").join(named.join(smallest, "root").select("id", "component"), "id").select(F.col("key").alias(key), "component")

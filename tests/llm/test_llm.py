@@ -556,3 +556,31 @@ def test_crowds_of_similar_texts(spark, monkeypatch):
     rows += [(5000 + i, " ".join(stream[10 * i : 10 * i + 150])) for i in range(80)]  # a chain: only neighbours are similar
     want = similar_as_brute_force(spark, rows)
     assert all(want[i] == (5000 if i >= 5000 else i - i % 10) for i, _ in rows)
+
+
+def test_similar_texts_link_fingerprints_first(spark, monkeypatch):
+    """Fingerprints of the shingle sets are linked by the pigeonhole, and these links are known before shingles meet."""
+    rng = np.random.default_rng(11)
+    rows = [(g * 10 + c, [f"v{x}" for x in rng.integers(0, 5000, 400)]) for g in range(6) for c in range(1)]
+    rows += [(i + c, [*words[:200], f"new{c}", *words[201:]]) for i, words in rows for c in range(1, 6)]
+    rows += [(900 + i, "a crowd of short texts that end alike but for this".split() + [f"n{i}"]) for i in range(4)]
+    rows = [(i, " ".join(words)) for i, words in rows]
+    verified, known = [], []
+    by_fingerprint, tie = simhash._by_fingerprint, simhash._tied
+
+    def linked(*args):
+        verified.append(by_fingerprint(*args))
+        return verified[-1]
+
+    def tied(met, before, *rest):
+        known.extend(before.collect())
+        return tie(met, before, *rest)
+
+    monkeypatch.setattr(simhash, "_by_fingerprint", linked)
+    monkeypatch.setattr(simhash, "_tied", tied)
+    got = {(r.doc_id, r.component) for r in simhash.similar_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute_similar(rows)
+    assert got == set(want.items())
+    sets = {simhash.text_name(t.encode()): set(simhash.shingle_set(t.encode(), 5).tolist()) for _, t in rows}
+    links = [(r.a, r.b) for r in verified[0].collect()]
+    assert links and known and all(len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) for a, b in links)
