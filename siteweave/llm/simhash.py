@@ -16,7 +16,7 @@ the same way first, and the links are verified on the texts. A similarity of 0.8
 64 bits, so for those that are still in different components the same principle is applied to the shingles themselves:
 similar sets differ in few members, so one of the first members of each set, in an order common to all, is shared (prefix filter). What meets there
 is checked on fingerprints of ``SKETCH`` bits, whose differing bits never outnumber the members that differ, and what
-is left is verified on the texts. At each shingle one leader is compared with the others, round by round, so a crowd of
+is left is verified on the texts. At each shingle two leaders are compared with the others, round by round, so a crowd of
 copies costs rows in proportion to its size.
 """
 
@@ -508,10 +508,10 @@ def _by_fingerprint(classes: DataFrame, texts_of, words: int, similarity: float)
 def _tied(met: DataFrame, tied: DataFrame, classes: DataFrame, texts_of, count: int, words: int, similarity: float) -> DataFrame:
     """(node, root) over all links between sets that reach the similarity; ``tied`` has those known before.
 
-    In each round every shingle compares one leader with the other sets that it meets, and is done with that leader;
+    In each round every shingle compares two leaders with the other sets that it meets, and is done with these leaders;
     sets that are in one component already need no comparison. Rounds go on while each at least halves the pairs that
-    are left; then all of those are compared at once. No pair is skipped but by bounds on its similarity or because its
-    sets are linked already.
+    are left, as far as bounds on where the shingle comes in both sets let them be similar; then all of those are compared
+    at once. No pair is skipped but by bounds on its similarity or because its sets are linked already.
     """
 
     def links_of(left: DataFrame, right: DataFrame, differ: Column) -> DataFrame:
@@ -529,23 +529,27 @@ def _tied(met: DataFrame, tied: DataFrame, classes: DataFrame, texts_of, count:
     while True:
         rows = met.join(tied.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
         rows = materialize(rows.select("token", "id", "size", "pos", "root"), "similar-rows")
-        groups = rows.groupBy("token", "root").agg(F.count("*").alias("c"), F.min(F.struct("pos", "id")).alias("h"))
-        # the leader is of the smallest component at the shingle, where it meets most that it is not linked with; the
-        # earlier the shingle comes in its set, the fewer of the others do the bounds exclude
-        tokens = groups.groupBy("token").agg(F.count("*").alias("roots"), F.sum("c").alias("n"), F.sum(F.col("c").cast("double") * F.col("c")).alias("squares"), F.min(F.struct("c", "h.pos", "h.id")).alias("h")).filter("roots > 1")
-        tokens = materialize(tokens.select("token", F.col("h.id").alias("leader"), ((F.col("n").cast("double") * F.col("n") - F.col("squares")) / 2).alias("pairs")), "similar-tokens")
+        # of two similar sets, the one that is not larger has the first shingle that they share this early
+        early = F.col("pos") <= F.col("size") * ((1 - similarity) / (1 + similarity)) + 1e-6
+        groups = rows.groupBy("token", "root").agg(F.count("*").alias("c"), F.count_if(early).alias("early"), F.min(F.struct("pos", "id")).alias("h"))
+        # One leader is the set in which the shingle comes first of all: it has least of its own besides what a crowd shares,
+        # so it links most of the crowd. The other is of the smallest component at the shingle, where it meets most that it
+        # is not linked with.
+        met_by = F.sum("early") * F.sum("c").cast("double") - F.sum(F.col("early").cast("double") * F.col("c"))
+        tokens = groups.groupBy("token").agg(met_by.alias("pairs"), F.min("h").alias("first"), F.min(F.struct("c", "h.pos", "h.id")).alias("small")).filter("pairs > 0")
+        tokens = materialize(tokens.select("token", F.array("first.id", "small.id").alias("leaders"), "pairs"), "similar-tokens")
         left = tokens.agg(F.sum("pairs")).first()[0]
         if not left:
             return tied
-        open_ = rows.join(tokens.select("token", "leader"), "token")
+        open_ = rows.join(tokens.select("token", "leaders"), "token")
         last = left <= CROWD * count or (before is not None and left > before / 2)
         if last:
-            found = links_of(open_.drop("leader"), open_.drop("leader"), F.col("root") < F.col("root_b"))
+            found = links_of(open_.drop("leaders"), open_.drop("leaders"), F.col("root") < F.col("root_b"))
         else:
             open_ = materialize(open_, "similar-open")
-            leaders = open_.filter("id = leader").drop("leader")
-            met = open_.filter("id <> leader").select("token", "id", "size", "pos")
-            found = links_of(leaders, open_.drop("leader"), F.col("root") != F.col("root_b"))
+            leads = F.array_contains("leaders", F.col("id"))
+            met = open_.filter(~leads).select("token", "id", "size", "pos")
+            found = links_of(open_.filter(leads).drop("leaders"), open_.drop("leaders"), F.col("root") != F.col("root_b"))
         tied = components(found.unionByName(tied.select(F.col("root").alias("a"), F.col("node").alias("b")).filter("a <> b")))
         if last:
             return tied

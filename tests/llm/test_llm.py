@@ -584,3 +584,25 @@ def test_similar_texts_link_fingerprints_first(spark, monkeypatch):
     sets = {simhash.text_name(t.encode()): set(simhash.shingle_set(t.encode(), 5).tolist()) for _, t in rows}
     links = [(r.a, r.b) for r in verified[0].collect()]
     assert links and known and all(len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) for a, b in links)
+
+
+def test_pairs_of_a_crowd_around_one_text(spark, monkeypatch):
+    """A text and copies with few to many words changed: those far from it are compared with few others, not with all."""
+    rng = np.random.default_rng(4)
+    base = [f"b{x}" for x in rng.integers(0, 100000, 150)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 400):
+        words = list(base)
+        for at in rng.choice(150, 1 + i % 9, replace=False):  # up to three changes keep it similar to the first, mostly
+            words[at] = f"own{i}x{at}"
+        rows.append((i, " ".join(words)))
+    compared = []
+    verify = simhash._verified
+
+    def verified(pairs, *rest):
+        compared.append(pairs.count())
+        return verify(pairs, *rest)
+
+    monkeypatch.setattr(simhash, "_verified", verified)
+    similar_as_brute_force(spark, rows)
+    assert sum(compared) <= 4 * len(rows), compared
