@@ -87,6 +87,38 @@ def test_two_writers(spark, tmp_path):
     assert sorted(numbers) == list(range(run + 1, run + 9)) and first.read("site_run").count() == 9
 
 
+def test_one_number_has_one_commit(spark, tmp_path):
+    """Of writers that ask for a number at once, one gets it."""
+    own = [ledger.Ledger(spark, str(tmp_path)) for _ in range(8)]
+    for n in range(40):
+        start, won = threading.Barrier(len(own)), []
+
+        def work(w, n=n, start=start, won=won):
+            start.wait()
+            if own[w]._create(f"{n:010d}.json", json.dumps({"by": w})):
+                won.append(w)
+
+        threads = [threading.Thread(target=work, args=(w,)) for w in range(len(own))]
+        [t.start() for t in threads]
+        [t.join() for t in threads]
+        assert len(won) == 1 and own[0]._read(f"{n:010d}.json") == {"by": won[0]}
+
+
+def test_a_commit_after_the_look_is_seen(spark, tmp_path, monkeypatch):
+    mine, other, done = ledger.Ledger(spark, str(tmp_path)), ledger.Ledger(spark, str(tmp_path)), []
+    base, look = mine.state(), mine.state
+
+    def then():
+        found = look()
+        if not done:
+            done.append(other.commit({"add": {"site_run": {"0": [["a", 0]]}}}, other.state()))
+        return found
+
+    monkeypatch.setattr(mine, "state", then)
+    with pytest.raises(Conflict):
+        mine.commit({"add": {"site_run": {"0": [["b", 0]]}}}, base, alone=[("site_run", "0")])
+
+
 def test_a_commit_from_an_old_state_is_refused(spark, tmp_path):
     store = made(spark, tmp_path / "s")
     base = store.ledger.state()
